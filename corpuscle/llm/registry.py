@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from corpuscle.llm.bpe import op1_byte_bpe
+from corpuscle.llm.mixing import op3_mixing
+from corpuscle.llm.quality import op8_quality_rules
 from corpuscle.llm.simhash import op5_simhash
 
-QUERIES = {"op5_simhash": op5_simhash}
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op3_mixing": op3_mixing, "op5_simhash": op5_simhash, "op8_quality_rules": op8_quality_rules}
 ORACLES: dict[str, str] = {}
