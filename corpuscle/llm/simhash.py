@@ -75,6 +75,15 @@ def _near(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= RADIUS
 
 
+def ball(some: DataFrame, fps: DataFrame) -> DataFrame:
+    """(p, fp): the fingerprints of fps within two bits of each p of some, other than itself, by enumerating its ball."""
+    bits = F.array(*[F.lit(1 << i if i < 63 else -(1 << 63)) for i in range(64)])
+    one = some.select(F.col("fp").alias("p"), F.posexplode(bits).alias("i", "x")).select("p", "i", F.col("p").bitwiseXOR(F.col("x")).alias("q"))
+    rest = F.slice(bits, F.col("i") + 2, F.lit(64))
+    two = one.select("p", F.explode(F.concat(F.array("q"), F.transform(rest, lambda x: F.col("q").bitwiseXOR(x)))).alias("fp"))
+    return two.join(fps.select("fp"), "fp").select("p", "fp")
+
+
 def links(fps: DataFrame) -> DataFrame:
     """(a, b), a < b: all pairs among distinct fingerprints (column fp) at RADIUS or fewer bits."""
     fps = fps.select("fp", _left(F.col("fp")).alias("l"), _right(F.col("fp")).alias("r"))
@@ -87,11 +96,7 @@ def links(fps: DataFrame) -> DataFrame:
     probes = lone.select(F.col("fp").alias("p"), F.explode(F.concat(F.array("l"), flips)).alias("l"))
     out = [probes.join(lone.select("fp", "l"), "l").where(_near("p", "fp") & ((F.shiftrightunsigned("p", 32) != F.col("l")) | (F.col("p") < F.col("fp")))).select("p", "fp")]
     out += [lone.select(F.col("fp").alias("p"), "r").join(lone.select("fp", "r"), "r").where(_near("p", "fp") & (F.col("p") < F.col("fp"))).select("p", "fp")]
-    ball = F.array(*[F.lit(1 << i if i < 63 else -(1 << 63)) for i in range(64)])
-    one = crowded.select(F.col("fp").alias("p"), F.posexplode(ball).alias("i", "x")).select("p", "i", F.col("p").bitwiseXOR(F.col("x")).alias("q"))
-    rest = F.slice(ball, F.col("i") + 2, F.lit(64))
-    two = one.select("p", F.explode(F.concat(F.array("q"), F.transform(rest, lambda x: F.col("q").bitwiseXOR(x)))).alias("fp"))
-    out += [two.join(fps.select("fp"), "fp").select("p", "fp")]
+    out += [ball(crowded, fps)]
     pairs = out[0].unionByName(out[1]).unionByName(out[2])
     return pairs.select(F.least("p", "fp").alias("a"), F.greatest("p", "fp").alias("b")).distinct()
 
