@@ -28,6 +28,9 @@ from corpuscle.operators.graph import connected_components
 from corpuscle.util import pin, table
 
 RADIUS, CROWD, SHINGLE, SEED = 2, 48, 3, 42
+#: For similar_texts(): shingle width, longs of a fingerprint, bits of a segment, bits that its ball turns,
+#: differing bits in all (those of a similarity of 0.8, and a standard deviation), and in the first long.
+WIDE, LANES, SEGMENT, LOOSE, FAR, LOOK = 5, 6, 24, 4, 65, 20
 
 
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
@@ -117,6 +120,97 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(named, "fp", "left").select("id", "fp", "component")
 
 
+def _wide(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A text's LANES * 64 fingerprint bits, and how far each was from turning."""
+    margins = []
+    with np.errstate(over="ignore"):
+        for k in range(LANES):
+            x = h * np.uint64(2 * k + 0x9E3779B97F4A7C15)
+            x ^= x >> np.uint64(29)
+            x *= np.uint64(0xBF58476D1CE4E5B9)
+            x ^= x >> np.uint64(32)
+            count = np.zeros(64, np.int64)
+            for at in range(0, len(x), 1 << 16):
+                count += np.unpackbits(x[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            margins.append(2 * count - len(h))
+    margin = np.concatenate(margins)
+    return margin > 0, np.abs(margin)
+
+
+def _signatures(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    digest, base = xxhash.xxh64_intdigest, (1 << np.arange(SEGMENT, dtype=np.int64))
+    for batch in batches(it):
+        rows = []
+        for text in batch.column(1).to_pylist():
+            w = lower_words(text)
+            if not w:
+                rows.append((None, None, None))
+                continue
+            joined = b" ".join(w)
+            ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
+            starts = np.concatenate(([0], ends[:-1] + 1))[: max(1, len(w) - WIDE + 1)].tolist()
+            stops = ends[WIDE - 1 :].tolist() or [len(joined)]
+            bits, margin = _wide(np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, stops, strict=True)), np.uint64, len(starts)))
+            cells = []
+            for n in range(LANES * 64 // SEGMENT):
+                own, loose = bits[n * SEGMENT : (n + 1) * SEGMENT], np.argsort(margin[n * SEGMENT : (n + 1) * SEGMENT], kind="stable")[:LOOSE]
+                home = int(base[own].sum()) | n << SEGMENT
+                turn = [1 << int(i) for i in loose]
+                cells += [home, *(home ^ x for x in turn), *(home ^ x ^ y for i, x in enumerate(turn) for y in turn[:i])]
+            rows.append((xxhash.xxh3_128_digest(joined), np.packbits(bits, bitorder="little").view(np.int64).tolist(), cells))
+        yield pa.record_batch([batch.column(0), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], ["id", "cls", "bits", "cells"])
+
+
+def _apart(a: str, b: str) -> Column:
+    """Differing bits of two wide fingerprints."""
+    return sum((F.bit_count(F.get(a, k).bitwiseXOR(F.get(b, k))) for k in range(1, LANES)), F.bit_count(F.get(a, 0).bitwiseXOR(F.get(b, 0))))
+
+
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component) of rows whose five-word shingles have a similarity of about 0.8 or more with another's.
+
+    Such texts differ in 15 % of their fingerprint bits, too many for two halves:
+    the fingerprint is LANES * 64 bits in segments of SEGMENT, and the ball around a
+    segment is enumerated over its LOOSE least certain bits, where near texts differ.
+    What it meets is verified by the complete distance, FAR at most. A cell that more
+    than CROWD texts call home is searched together with the next segment's home, and
+    each of its texts is also compared with the cell's first. Texts of the same words
+    are one class. component is the smallest id of a group of two rows or more; rows
+    without id or words are in no group.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    pair = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    sig = pin(pair.mapInArrow(_signatures, f"id {kind}, cls binary, bits array<long>, cells array<long>").where("cls is not null"), "signatures")
+    names = pin(sig.groupBy("cls").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.first(F.struct("bits", "cells")).alias("s")).select("cls", F.xxhash64("cls").alias("c"), "first", "n", "s.*"), "text_classes")
+    balls = 1 + LOOSE + LOOSE * (LOOSE - 1) // 2
+    each = names.select("c", F.get("bits", 0).alias("k"), F.posexplode("cells").alias("i", "cell"), F.col("cells"))
+    each = each.select("c", "k", "i", "cell", F.get("cells", F.pmod((F.floor(F.col("i") / balls) + 1) * balls, F.size("cells")).cast("int")).alias("next"))
+    home = each.where(F.col("i") % balls == 0).select("cell", "next", F.col("c").alias("d"), F.col("k").alias("kd"))
+    full = pin(home.groupBy("cell").agg(F.count("*").alias("n"), F.min("d").alias("lead")).where(F.col("n") > CROWD).select("cell", "lead"), "crowded_cells")
+    full = F.broadcast(full) if full.count() <= 100_000 else full
+    near = (F.col("c") != F.col("d")) & (F.bit_count(F.col("k").bitwiseXOR(F.col("kd"))) <= LOOK)
+    free, calm = each.join(full, "cell", "left_anti"), home.join(full, "cell", "left_anti")
+    met = free.drop("next").join(calm.drop("next"), "cell").where(near).select("c", "d")
+    met = met.unionByName(each.join(full, "cell").join(home, ["cell", "next"]).where(near & (F.col("c") < F.col("d"))).select("c", "d"))
+    met = met.unionByName(home.join(full, "cell").where("d != lead").select(F.col("d").alias("c"), F.col("lead").alias("d")))
+    pairs = met.select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct()
+    bits = names.select("c", "bits")
+    both = pairs.join(bits.select(F.col("c").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("c").alias("b"), F.col("bits").alias("y")), "b")
+    joined = connected_components(both.where(_apart("x", "y") <= FAR).select("a", "b"))
+    root = names.select("cls", "c", "first", "n").join(joined.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("component", "c")).drop("component")
+    least = root.groupBy("root").agg(F.min("first").alias("component"), F.sum("n").alias("size")).where("size > 1")
+    grouped = pin(root.join(least, "root").select("cls", "component"), "text_groups")
+    return sig.select("id", "cls").join(grouped, "cls").select("id", "component")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, less those of a similar_texts() group other than its smallest id's."""
+    gone = pin(similar_texts(docs, id_col, text_col).where("id != component").select(F.col("id").alias("_gone")).distinct(), "near_copies")
+    gone = F.broadcast(gone) if gone.count() <= 300_000 else gone
+    held = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("_id"))
+    return held.join(gone, F.col("_id") == F.col("_gone"), "left_anti").select("row.*")
+
+
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint and component_id of every document."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
