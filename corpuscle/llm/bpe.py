@@ -3,10 +3,10 @@
 A text is split by the tokenizer's pattern, each match is encoded on its own. The
 matches of a block of rows are reduced to distinct words, and Spark higher-order
 functions fold the ranked merges over each distinct word's bytes: every step finds
-the lowest rank among neighbouring pieces and joins all its places, left to right.
-Ranks come from a literal map, laid out as a two-choice hash table so that a look-up
-reads two array cells: higher-order functions search an ordinary map from end to end.
-Decoding puts the tokens' bytes together.
+the lowest rank among neighbouring pieces and joins its places, left to right. Pieces
+are carried as ids. Ranks come from a literal map of id pairs, laid out as overlaid
+rows of one array so that a look-up reads one cell: higher-order functions search an
+ordinary map from end to end. Decoding puts the tokens' bytes together.
 """
 
 from __future__ import annotations
@@ -14,9 +14,9 @@ from __future__ import annotations
 import base64
 import functools
 import json
-import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import regex
@@ -27,9 +27,10 @@ from pyspark.sql import types as T
 from corpuscle.llm.words import batches
 from corpuscle.util import table
 
-BLOCK_BYTES, SLOT_BITS = 6 << 20, 17
-MASK = (1 << SLOT_BITS) - 1
-NONE = 1 << 30
+BLOCK_BYTES = 12 << 20
+#: Ids take so many bits; a rank beyond them means that two pieces do not join.
+FIELD = 20
+NONE = 1 << FIELD
 
 
 @functools.lru_cache(maxsize=4)
@@ -39,51 +40,58 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(t): int(r) for t, r in map(bytes.split, lines)}
 
 
-def _slots(key: bytes) -> tuple[int, int]:
-    crc = zlib.crc32(key)
-    return crc & MASK, (crc >> 15) & MASK
+def _pairs(ranks: dict[bytes, int]) -> dict[int, int]:
+    """Two neighbouring ids, as one key, to the id of their bytes together, which is also the merge's rank."""
+    return {ranks[t[:i]] << FIELD | ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
 
 
-def _slots(key: bytes) -> tuple[int, int]:
-    crc = zlib.crc32(key)
-    return crc & MASK, crc >> (32 - SLOT_BITS)
+def _displaced(pairs: dict[int, int]) -> tuple[list[int], list[int | None]]:
+    """The pairs as one array of overlaid rows: a pair (a, b) is at cell base[a] + b, which names a.
+
+    Rows are laid largest first where none of their cells is taken.
+    """
+    rows: dict[int, list[tuple[int, int]]] = {}
+    for key, joined in pairs.items():
+        rows.setdefault(key >> FIELD, []).append((key & (NONE - 1), joined))
+    width = max((b for r in rows.values() for b, _ in r), default=0) + 1
+    taken, free = np.zeros(4 * len(pairs) + 2 * width, bool), 0
+    base = [0] * (max(rows, default=-1) + 1)
+    for a, row in sorted(rows.items(), key=lambda x: -len(x[1])):
+        ends = np.array([b for b, _ in row])
+        while taken[free]:
+            free += 1
+        at = max(0, free - int(ends.min()))
+        while taken[at + ends].any():
+            at += 1
+        taken[at + ends] = True
+        base[a] = at
+    cells: list[int | None] = [None] * (int(np.flatnonzero(taken).max(initial=0)) + 1)
+    for a, row in rows.items():
+        for b, joined in row:
+            cells[base[a] + b] = a << FIELD | joined
+    return base, cells
 
 
 @functools.lru_cache(maxsize=4)
-def _cells(path: str) -> tuple[str, str, str]:
-    """JSON of the hash table's tokens and ranks, and of the tokens' hexadecimal digits by rank."""
+def _literals(path: str) -> tuple[str, str, str, str]:
+    """JSON of the rank map (bases, cells), of the bytes' ids, and of the tokens' hexadecimal digits by id."""
     ranks = read_ranks(path)
-    cells: list[tuple[bytes, int] | None] = [None] * (MASK + 1)
-    for item in ranks.items():
-        at = _slots(item[0])[0]
-        for _ in range(1000):
-            cells[at], item = item, cells[at]
-            if item is None:
-                break
-            a, b = _slots(item[0])
-            at = b if at == a else a
-        else:
-            raise ValueError("the ranks do not fit the table")
-    dense = [""] * (max(ranks.values(), default=-1) + 1)
+    base, cells = _displaced(_pairs(ranks))
+    tokens = [""] * (max(ranks.values(), default=-1) + 1)
+    base += [0] * (len(tokens) - len(base))
     for token, rank in ranks.items():
-        dense[rank] = token.hex()
+        tokens[rank] = token.hex()
     write = functools.partial(json.dumps, separators=(",", ":"))
-    return write([c and base64.b64encode(c[0]).decode() for c in cells]), write([c and c[1] for c in cells]), write(dense)
-
+    return write(base), write(cells), write([ranks[bytes([b])] for b in range(256)]), write(tokens)
 
-def _literals(path: str) -> tuple[Column, Column]:
-    """The rank map: the table's tokens and, cell by cell, their ranks. Constant folding makes both literals."""
-    keys, ranks, _ = _cells(path)
-    return F.from_json(F.lit(keys), "array<binary>"), F.from_json(F.lit(ranks), "array<int>")
 
+def _rank(a: Column, b: Column, table: tuple[Column, Column]) -> Column:
+    """The rank of joining two neighbouring ids by the literal map; NONE or more, or null, if they do not join.
 
-def _rank(key: Column, at: tuple[Column, Column]) -> Column:
-    """The rank of a byte string in the literal map, else NONE."""
-    keys, ranks = at
-    crc = F.crc32(key)
-    one = crc.bitwiseAND(F.lit(MASK)).cast("int") + 1
-    two = F.shiftright(crc, 32 - SLOT_BITS).cast("int") + 1
-    return F.when(F.element_at(keys, one) == key, F.element_at(ranks, one)).when(F.element_at(keys, two) == key, F.element_at(ranks, two)).otherwise(F.lit(NONE))
+    A cell of another row keeps bits of its own name.
+    """
+    base, cells = table
+    return F.get(cells, F.get(base, a) + b).bitwiseXOR(F.shiftleft(a.cast("long"), FIELD))
 
 
 def _let(value: Column, body) -> Column:
@@ -91,40 +99,44 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _state(pieces: Column, at: tuple[Column, Column]) -> Column:
-    """Pieces, the rank of each joined with the next, and the lowest rank."""
+def _state(pieces: Column, table: tuple[Column, Column]) -> Column:
+    """Pieces, the rank of joining each with the next, and the lowest rank."""
 
     def with_ranks(p: Column) -> Column:
-        ranks = F.transform(F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0))), lambda x, i: _rank(F.concat(x, F.element_at(p, i + 2)), at))
-        return _let(ranks, lambda r: F.struct(p.alias("p"), r.alias("r"), F.coalesce(F.array_min(r), F.lit(NONE)).alias("low")))
+        ranks = F.transform(p, lambda x, i: _rank(x, F.get(p, i + 1), table))
+        return _let(ranks, lambda r: F.struct(p.alias("p"), r.alias("r"), F.coalesce(F.array_min(r), F.lit(NONE).cast("long")).alias("low")))
 
     return _let(pieces, with_ranks)
 
 
 def _joined(s: Column) -> Column:
-    """The pieces after joining all places of the lowest rank.
+    """The pieces after joining places of the lowest rank.
 
     Of places that overlap, one after another in a run, the first joins and the
     rest of the run waits for the next step. In long words, where a run may be
     long, every other place of it joins at once, which comes to the same.
     """
     p, r, low = s["p"], s["r"], s["low"]
+    joined, gone = low.cast("int"), F.lit(-1)
+
+    def at(i: Column) -> Column:
+        return F.get(r, i).eqNullSafe(low)
 
-    def first_of_run(i: Column) -> Column:
-        return F.coalesce(F.get(r, i) == low, F.lit(False)) & ~F.coalesce(F.get(r, i - 1) == low, F.lit(False))
+    def short(x: Column, i: Column) -> Column:
+        run = F.when(~at(i - 1), joined).when(~at(i - 2), gone).otherwise(x)
+        return F.when(at(i), run).when(at(i - 1) & ~at(i - 2), gone).otherwise(x)
 
-    def put(chosen) -> Column:
-        return F.filter(F.transform(p, lambda x, i: F.when(chosen(i), F.concat(x, F.get(p, i + 1))).when(~chosen(i - 1), x)), lambda x: x.isNotNull())
+    def long(marks: Column) -> Column:
+        return F.transform(p, lambda x, i: F.when(F.get(marks, i).eqNullSafe(F.lit("1")), joined).when(F.get(marks, i - 1).eqNullSafe(F.lit("1")), gone).otherwise(x))
 
-    marks = F.split(F.regexp_replace(F.array_join(F.transform(r, lambda x: F.when(x == low, "1").otherwise("0")), ""), "11", "10"), "")
-    return F.when(F.size(p) <= 48, put(first_of_run)).otherwise(_let(marks, lambda m: put(lambda i: F.coalesce(F.get(m, i) == "1", F.lit(False)))))
+    marks = F.split(F.regexp_replace(F.array_join(F.transform(r, lambda x: F.when(x.eqNullSafe(low), "1").otherwise("0")), ""), "11", "10"), "")
+    return F.array_remove(F.when(F.size(p) <= 48, F.transform(p, short)).otherwise(_let(marks, long)), gone)
 
 
-def merge_word(word: Column, at: tuple[Column, Column]) -> Column:
-    """The ids of one word (binary): itself if ranked, else what is left after all merges."""
-    singles = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.substring(word, i, F.lit(1)))
-    folded = F.aggregate(F.sequence(F.lit(1), F.length(word)), _state(singles, at), lambda s, _: F.when(s["low"] == NONE, s).otherwise(_state(_joined(s), at)), lambda s: F.transform(s["p"], lambda x: _rank(x, at)))
-    return _let(_rank(word, at), lambda whole: F.when(whole != NONE, F.array(whole)).otherwise(folded))
+def merge_word(word: Column, table: tuple[Column, Column], singles: Column) -> Column:
+    """The ids of one word, an array of its bytes, after all ranked merges."""
+    start = _state(F.transform(word, lambda b: F.get(singles, b)), table)
+    return F.aggregate(word, start, lambda s, _: F.when(s["low"] >= NONE, s).otherwise(_state(_joined(s), table)), lambda s: s["p"])
 
 
 def _blocks(pattern: str, block_bytes: int):
@@ -139,7 +151,9 @@ def _blocks(pattern: str, block_bytes: int):
             flat = pa.concat_arrays(numbers)
             texts = pa.ListArray.from_arrays(pa.compute.cumulative_sum(sizes), flat)
             rows = pa.StructArray.from_arrays([pa.concat_arrays(ids), texts], ["id", "at"])
-            distinct = pa.array([w.encode("utf-8", "surrogatepass") for w in known], pa.binary())
+            coded = [w.encode("utf-8", "surrogatepass") for w in known]
+            ends = pa.array(np.cumsum([0, *map(len, coded)]), pa.int32())
+            distinct = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(coded), np.uint8).astype(np.int32)))
             return pa.record_batch([pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows), pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct)], ["rows", "words"])
 
         for batch in batches(it, block_bytes):
@@ -164,17 +178,18 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     pair = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = pair.schema["id"].dataType
     row = T.StructType([T.StructField("id", id_type), T.StructField("at", T.ArrayType(T.IntegerType()))])
-    blocks = pair.mapInArrow(_blocks(pattern, block_bytes), T.StructType([T.StructField("rows", T.ArrayType(row)), T.StructField("words", T.ArrayType(T.BinaryType()))]))
-    at = _literals(ranks_path)
+    blocks = pair.mapInArrow(_blocks(pattern, block_bytes), T.StructType([T.StructField("rows", T.ArrayType(row)), T.StructField("words", T.ArrayType(T.ArrayType(T.IntegerType())))]))
+    base, cells, singles, _ = _literals(ranks_path)
+    merges, singles = (F.from_json(F.lit(base), "array<int>"), F.from_json(F.lit(cells), "array<bigint>")), F.from_json(F.lit(singles), "array<int>")
     # explode keeps the optimizer from moving the fold into the lambda below, where it would run for each use
-    coded = blocks.select("rows", F.explode(F.array(F.transform("words", lambda w: merge_word(w, at)))).alias("coded"))
+    coded = blocks.select("rows", F.explode(F.array(F.transform("words", lambda w: merge_word(w, merges, singles)))).alias("coded"))
     put = F.transform("rows", lambda r: F.struct(r["id"].alias("id"), F.flatten(F.transform(r["at"], lambda i: F.element_at(F.col("coded"), i))).alias("ids")))
     return coded.select(F.explode(put).alias("r")).select("r.id", "r.ids")
 
 
 def decode(ids: Column, ranks_path: str) -> Column:
     """The bytes that a list of token numbers stands for."""
-    tokens = F.from_json(F.lit(_cells(ranks_path)[2]), "array<string>")
+    tokens = F.from_json(F.lit(_literals(ranks_path)[3]), "array<string>")
     return F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(tokens, i + 1)), ""))
 
 
