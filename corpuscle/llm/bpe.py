@@ -31,6 +31,8 @@ BLOCK_BYTES = 12 << 20
 #: Ids take so many bits; a rank beyond them means that two pieces do not join.
 FIELD = 20
 NONE = 1 << FIELD
+#: Places tried at once for a row of the rank map.
+STRETCH = 8192
 
 
 @functools.lru_cache(maxsize=4)
@@ -54,17 +56,25 @@ def _displaced(pairs: dict[int, int]) -> tuple[list[int], list[int | None]]:
     for key, joined in pairs.items():
         rows.setdefault(key >> FIELD, []).append((key & (NONE - 1), joined))
     width = max((b for r in rows.values() for b, _ in r), default=0) + 1
-    taken, free = np.zeros(4 * len(pairs) + 2 * width, bool), 0
+    taken, free = np.zeros(4 * len(pairs) + 2 * width + STRETCH, bool), 0
     base = [0] * (max(rows, default=-1) + 1)
     for a, row in sorted(rows.items(), key=lambda x: -len(x[1])):
         ends = np.array([b for b, _ in row])
         while taken[free]:
             free += 1
-        at = max(0, free - int(ends.min()))
-        while taken[at + ends].any():
-            at += 1
+        start = max(0, free - int(ends.min()))
+        fit = np.zeros(0, np.int64)
+        while not len(fit):
+            if start + STRETCH + width > len(taken):
+                taken = np.concatenate((taken, np.zeros(len(taken), bool)))
+            fit = np.arange(start, start + STRETCH)
+            for b in ends.tolist():
+                fit = fit[~taken[fit + b]]
+                if not len(fit):
+                    break
+            start += STRETCH
+        base[a] = at = int(fit[0])
         taken[at + ends] = True
-        base[a] = at
     cells: list[int | None] = [None] * (int(np.flatnonzero(taken).max(initial=0)) + 1)
     for a, row in rows.items():
         for b, joined in row:
