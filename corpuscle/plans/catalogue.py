@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from corpuscle.util import table
+from corpuscle.plans import corpus, health, relations  # noqa: F401  they register their queries
+from corpuscle.plans.registry import ORACLES, QUERIES
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
 FLAGSHIP = "q25_file_capped_scores"
