@@ -81,7 +81,7 @@ def _write(folder: str):
                     fs, base = _fs(folder)
                     fs.create_dir(base)
                     name, offset = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0
-                    out = fs.open_output_stream(_fs(name)[1])
+                    out = fs.open_output_stream(_fs(name)[1], compression=None)  # records are members already
                 payload = (html or "").encode("utf-8", "surrogatepass")
                 data = gzip.compress(record(page_id, url, payload, digest, None if refers_to is None else (refers_to, refers_key)), 3, mtime=0)
                 out.write(data)
@@ -170,7 +170,7 @@ def read(path: str, offset: int = 0, length: int | None = None) -> bytes:
 def records(path: str, chunk: int = 1 << 20) -> Iterator[bytes]:
     """The records of an archive file one by one; memory holds a chunk and a record."""
     fs, at = _fs(path)
-    with fs.open_input_stream(at) as f:
+    with fs.open_input_stream(at, compression=None) as f:
         member, parts, data = zlib.decompressobj(31), [], f.read(chunk)
         while data:
             parts.append(member.decompress(data))
