@@ -13,7 +13,7 @@ def spark():
 
     conf = {"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "6g", "spark.ui.showConsoleProgress": "false"}
     session = SparkSession.builder.master("local[4]").config(map=conf).getOrCreate()
-    session.sparkContext.setLogLevel("ERROR")
+    session.sparkContext.setLogLevel("OFF")
     return session
 
 
