@@ -260,7 +260,7 @@ def read_archives(captures: DataFrame, ranges: list[tuple[str, int, str, str]])
     Whole payloads are hashed; a revisit's is read from the record that the index finds.
     """
     files = captures.groupBy("file").agg(F.count("*").alias("n")).select("file")
-    return files.repartition("file").mapInArrow(_read(ranges), READ)
+    return files.repartition(max(files.count(), 1), "file").mapInArrow(_read(ranges), READ)
 
 
 def op9_warc(spark, sf_dir: str) -> DataFrame:
