@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscle.llm.words import batches, lower_words
@@ -28,9 +28,9 @@ from corpuscle.operators.graph import connected_components
 from corpuscle.util import pin, table
 
 RADIUS, CROWD, SHINGLE, SEED = 2, 48, 3, 42
-#: For similar_texts(): shingle width, longs of a fingerprint, bits of a segment, bits that its ball turns,
-#: differing bits in all (those of a similarity of 0.8, and a standard deviation), and in the first long.
-WIDE, LANES, SEGMENT, LOOSE, FAR, LOOK = 5, 6, 24, 4, 65, 20
+#: For similar_texts(): shingle width, longs of a fingerprint, differing bits that a similarity of 0.8 does not reach
+#: (six standard deviations from its mean) in all and in the first two longs, and shingles below which bits say little.
+WIDE, LANES, FAR, LOOK, TINY = 5, 6, 100, 45, 32
 
 
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
@@ -120,9 +120,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(named, "fp", "left").select("id", "fp", "component")
 
 
-def _wide(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A text's LANES * 64 fingerprint bits, and how far each was from turning."""
-    margins = []
+def _wide(h: np.ndarray) -> np.ndarray:
+    """A text's LANES * 64 fingerprint bits."""
+    out = []
     with np.errstate(over="ignore"):
         for k in range(LANES):
             x = h * np.uint64(2 * k + 0x9E3779B97F4A7C15)
@@ -132,73 +132,113 @@ def _wide(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             count = np.zeros(64, np.int64)
             for at in range(0, len(x), 1 << 16):
                 count += np.unpackbits(x[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-            margins.append(2 * count - len(h))
-    margin = np.concatenate(margins)
-    return margin > 0, np.abs(margin)
+            out.append(2 * count > len(h))
+    return np.concatenate(out)
+
+
+def _shingles(w: list[bytes]) -> np.ndarray:
+    """The distinct hashes of a word list's five-word shingles, as signed longs in order."""
+    digest, joined = xxhash.xxh64_intdigest, b" ".join(w)
+    ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))[: max(1, len(w) - WIDE + 1)].tolist()
+    stops = ends[WIDE - 1 :].tolist() or [len(joined)]
+    return np.unique(np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, stops, strict=True)), np.uint64, len(starts)).view(np.int64))
 
 
 def _signatures(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    digest, base = xxhash.xxh64_intdigest, (1 << np.arange(SEGMENT, dtype=np.int64))
     for batch in batches(it):
         rows = []
         for text in batch.column(1).to_pylist():
             w = lower_words(text)
             if not w:
-                rows.append((None, None, None))
+                rows.append((None, None, None, None))
                 continue
-            joined = b" ".join(w)
-            ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
-            starts = np.concatenate(([0], ends[:-1] + 1))[: max(1, len(w) - WIDE + 1)].tolist()
-            stops = ends[WIDE - 1 :].tolist() or [len(joined)]
-            bits, margin = _wide(np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, stops, strict=True)), np.uint64, len(starts)))
-            cells = []
-            for n in range(LANES * 64 // SEGMENT):
-                own, loose = bits[n * SEGMENT : (n + 1) * SEGMENT], np.argsort(margin[n * SEGMENT : (n + 1) * SEGMENT], kind="stable")[:LOOSE]
-                home = int(base[own].sum()) | n << SEGMENT
-                turn = [1 << int(i) for i in loose]
-                cells += [home, *(home ^ x for x in turn), *(home ^ x ^ y for i, x in enumerate(turn) for y in turn[:i])]
-            rows.append((xxhash.xxh3_128_digest(joined), np.packbits(bits, bitorder="little").view(np.int64).tolist(), cells))
-        yield pa.record_batch([batch.column(0), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], ["id", "cls", "bits", "cells"])
-
-
-def _apart(a: str, b: str) -> Column:
-    """Differing bits of two wide fingerprints."""
-    return sum((F.bit_count(F.get(a, k).bitwiseXOR(F.get(b, k))) for k in range(1, LANES)), F.bit_count(F.get(a, 0).bitwiseXOR(F.get(b, 0))))
+            h = _shingles(w)
+            bits = np.packbits(_wide(h.view(np.uint64)), bitorder="little").view(np.int64)
+            # a set of similarity 0.8 shares four fifths of these shingles, so at least one of the first fifth and one more
+            rows.append((xxhash.xxh3_128_digest(b" ".join(w)), bits.tolist(), len(h), h[: len(h) - (4 * len(h) + 4) // 5 + 1].tolist()))
+        longs = pa.list_(pa.int64())
+        yield pa.record_batch([batch.column(0), *[pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.binary(), longs, pa.int64(), longs))]], ["id", "cls", "bits", "n", "heads"])
+
+
+def _sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches(it):
+        words = [w for w in map(lower_words, batch.column(0).to_pylist()) if w]
+        yield pa.record_batch([pa.array([xxhash.xxh3_128_digest(b" ".join(w)) for w in words], pa.binary()), pa.array([_shingles(w).tolist() for w in words], pa.list_(pa.int64()))], ["cls", "shingles"])
+
+
+def _apart(a: str, b: str, lanes: int = LANES) -> Column:
+    """Differing bits of the first lanes of two wide fingerprints."""
+    return sum((F.bit_count(F.get(a, k).bitwiseXOR(F.get(b, k))) for k in range(1, lanes)), F.bit_count(F.get(a, 0).bitwiseXOR(F.get(b, 0))))
+
+
+def _alike(pairs: DataFrame, names: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of names whose shingle sets have a Jaccard similarity of 0.8 or more; texts are rows (id, text)."""
+    bits = names.select("c", "bits", "n")
+    both = pairs.distinct().join(bits.select(F.col("c").alias("a"), F.col("bits").alias("x"), F.col("n").alias("m")), "a").join(bits.select(F.col("c").alias("b"), F.col("bits").alias("y"), "n"), "b")
+    near = pin(both.where((_apart("x", "y") <= FAR) | (F.least("m", "n") < TINY)).select("a", "b", "m", "n"), "near_texts")
+    wanted = names.join(near.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "c", "left_semi")
+    wanted = pin(wanted.select("c", "cls", F.col("first").alias("id")), "wanted_texts")
+    sets = texts.join(wanted.select("id").distinct(), "id", "left_semi").select("text").mapInArrow(_sets, "cls binary, shingles array<long>")
+    sets = pin(sets.join(wanted.select("c", "cls"), "cls").select("c", "shingles").dropDuplicates(["c"]), "shingle_sets")
+    both = near.join(sets.select(F.col("c").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("c").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(5 * shared >= 4 * (F.col("m") + F.col("n") - shared)).select("a", "b")
+
+
+def _met(some: DataFrame, rows: DataFrame, also: Column | None = None) -> DataFrame:
+    """(a, b): pairs of some and rows (cell, c, n, at, k, root) of one cell that sizes, places and first bits let be similar."""
+    other = rows.select("cell", *[F.col(x).alias(f"{x}2") for x in ("c", "n", "at", "k", "root")])
+    joined = some.select("cell", "c", "n", "at", "k", "root").join(other, "cell")
+    # all shared shingles stand at the first shared one or behind it
+    most = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))
+    fits = (F.col("c") != F.col("c2")) & (5 * most >= 4 * (F.col("n") + F.col("n2") - most))
+    fits = fits & ((_apart("k", "k2", 2) <= LOOK) | (F.least("n", "n2") < TINY))
+    return joined.where(fits if also is None else fits & also).select(F.least("c", "c2").alias("a"), F.greatest("c", "c2").alias("b"))
+
+
+def _copies(names: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, component) of names that links of similarity 0.8 or more join."""
+    heads = names.select("c", "n", F.slice("bits", 1, 2).alias("k"), F.posexplode("heads").alias("at", "cell"))
+    w = Window.partitionBy("cell")
+    heads = heads.withColumns({"held": F.count("*").over(w), "lead": F.min("c").over(w), "root": F.lit(None).cast("long")}).where("held > 1")
+    heads = pin(heads, "shared_shingles")
+    lone, crowd = heads.where(F.col("held") <= CROWD), heads.where(F.col("held") > CROWD)
+    lead = crowd.where("c = lead")
+    met = _met(lone, lone, F.col("c") < F.col("c2")).unionByName(_met(crowd.where("c != lead"), lead))
+    found = pin(_alike(met, names, texts), "copies")
+    joined = pin(connected_components(found), "copy_groups")
+    # in a crowd, who is joined with its lead need not meet who is too; all others meet all of other groups
+    root = joined.select(F.col("node").alias("c"), F.col("component").alias("own"))
+    of = crowd.drop("root").join(root, "c", "left").withColumn("root", F.coalesce("own", "c"))
+    of = of.join(lead.select("cell", F.col("c").alias("lead")).join(root.withColumnRenamed("c", "lead"), "lead", "left").select("cell", F.coalesce("own", "lead").alias("led")), "cell")
+    of = pin(of.select("cell", "c", "n", "at", "k", "root", "led"), "crowds")
+    rest = of.where("root != led")
+    if rest.isEmpty():
+        return joined
+    more = _alike(_met(rest, of, F.col("root") != F.col("root2")), names, texts)
+    return connected_components(found.unionByName(more))
 
 
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component) of rows whose five-word shingles have a similarity of about 0.8 or more with another's.
-
-    Such texts differ in 15 % of their fingerprint bits, too many for two halves:
-    the fingerprint is LANES * 64 bits in segments of SEGMENT, and the ball around a
-    segment is enumerated over its LOOSE least certain bits, where near texts differ.
-    What it meets is verified by the complete distance, FAR at most. A cell that more
-    than CROWD texts call home is searched together with the next segment's home, and
-    each of its texts is also compared with the cell's first. Texts of the same words
-    are one class. component is the smallest id of a group of two rows or more; rows
-    without id or words are in no group.
+    """(id, component) of rows whose five-word shingles have a Jaccard similarity of 0.8 or more with another's.
+
+    Shingles are taken in the order of their hashes: two such sets share one of the
+    first n - ceil(0.8 n) + 1 of each, so texts that share one of those are met.
+    Of these, pairs of too many differing fingerprint bits (six longs of SimHash) are
+    passed over, and the rest are verified by their shingle sets. In a cell that more
+    than CROWD texts share, all are compared with its first text, and then those of
+    other groups with each other. Texts of the same words are one class. component is
+    the smallest id of a group of two rows or more; rows without id or words are in
+    no group.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     pair = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sig = pin(pair.mapInArrow(_signatures, f"id {kind}, cls binary, bits array<long>, cells array<long>").where("cls is not null"), "signatures")
-    names = pin(sig.groupBy("cls").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.first(F.struct("bits", "cells")).alias("s")).select("cls", F.xxhash64("cls").alias("c"), "first", "n", "s.*"), "text_classes")
-    balls = 1 + LOOSE + LOOSE * (LOOSE - 1) // 2
-    each = names.select("c", F.get("bits", 0).alias("k"), F.posexplode("cells").alias("i", "cell"), F.col("cells"))
-    each = each.select("c", "k", "i", "cell", F.get("cells", F.pmod((F.floor(F.col("i") / balls) + 1) * balls, F.size("cells")).cast("int")).alias("next"))
-    home = each.where(F.col("i") % balls == 0).select("cell", "next", F.col("c").alias("d"), F.col("k").alias("kd"))
-    full = pin(home.groupBy("cell").agg(F.count("*").alias("n"), F.min("d").alias("lead")).where(F.col("n") > CROWD).select("cell", "lead"), "crowded_cells")
-    full = F.broadcast(full) if full.count() <= 100_000 else full
-    near = (F.col("c") != F.col("d")) & (F.bit_count(F.col("k").bitwiseXOR(F.col("kd"))) <= LOOK)
-    free, calm = each.join(full, "cell", "left_anti"), home.join(full, "cell", "left_anti")
-    met = free.drop("next").join(calm.drop("next"), "cell").where(near).select("c", "d")
-    met = met.unionByName(each.join(full, "cell").join(home, ["cell", "next"]).where(near & (F.col("c") < F.col("d"))).select("c", "d"))
-    met = met.unionByName(home.join(full, "cell").where("d != lead").select(F.col("d").alias("c"), F.col("lead").alias("d")))
-    pairs = met.select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct()
-    bits = names.select("c", "bits")
-    both = pairs.join(bits.select(F.col("c").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("c").alias("b"), F.col("bits").alias("y")), "b")
-    joined = connected_components(both.where(_apart("x", "y") <= FAR).select("a", "b"))
-    root = names.select("cls", "c", "first", "n").join(joined.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("component", "c")).drop("component")
-    least = root.groupBy("root").agg(F.min("first").alias("component"), F.sum("n").alias("size")).where("size > 1")
+    sig = pin(pair.mapInArrow(_signatures, f"id {kind}, cls binary, bits array<long>, n long, heads array<long>").where("cls is not null"), "signatures")
+    names = pin(sig.groupBy("cls").agg(F.min("id").alias("first"), F.count("*").alias("rows"), F.first(F.struct("bits", "n", "heads")).alias("s")).select("cls", F.xxhash64("cls").alias("c"), "first", "rows", "s.*"), "text_classes")
+    joined = _copies(names, pair)
+    root = names.select("cls", "c", "first", "rows").join(joined.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("component", "c")).drop("component")
+    least = root.groupBy("root").agg(F.min("first").alias("component"), F.sum("rows").alias("size")).where("size > 1")
     grouped = pin(root.join(least, "root").select("cls", "component"), "text_groups")
     return sig.select("id", "cls").join(grouped, "cls").select("id", "component")
 
