@@ -1,13 +1,13 @@
 """Licence scans by a positional rare-token index.
 
-Each licence notice is a template of words with mandatory key phrases. A file's
-licence words of highest inverse document frequency, counted over the whole corpus,
-are looked up in the templates' postings; places in the file minus places in the
+Each licence notice is a template of words with mandatory key phrases. Of every
+template's key words those of highest inverse document frequency, counted over the
+whole corpus, are looked up in each file; places in the file minus places in the
 template give the offsets at which a template may lie, and offsets on which two or
-more of the rare words agree are verified: every word of the key phrases must stand
-at its place. The share of all template words in place is the score. All of it is
-DataFrame operations; only files that hold all words of some key phrase go on to the
-look-up.
+more of its rare words agree are verified: every word of the key phrases must stand
+at its place, so no notice is lost, whatever others the file holds. The share of all
+template words in place is the score. All of it is DataFrame operations; only files
+that hold all words of some key phrase go on to the look-up.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.util import pin, table
 
-WORD, RARE, AGREE = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", 16, 2
+WORD, RARE, AGREE = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", 4, 2
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
 
@@ -114,14 +114,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     rows = rows.withColumn("gated", gate)
     some = {p: F.when(F.col("gated"), _starts(F.col("words"), p)) for p in base}
     none = F.array().cast("array<int>")
-    rows = rows.select("id", "k1", "k2", F.size("words").cast("long").alias("n_words"), *[F.coalesce(c, none).alias(f"b{i}") for i, c in enumerate(some.values())], F.when(F.col("gated"), F.col("words")).alias("words"), F.when(F.col("gated"), F.slice("own", 1, RARE)).alias("rare"))
+    rows = rows.select("id", "k1", "k2", F.size("words").cast("long").alias("n_words"), *[F.coalesce(c, none).alias(f"b{i}") for i, c in enumerate(some.values())], F.when(F.col("gated"), F.col("words")).alias("words"))
     rows = pin(rows, "licence_words")
-    gated = rows.where("words is not null").select("k1", "k2", "words", "rare")
-    postings = [{"w": w, "t": n, "p": i} for n, t in enumerate(templates) for i, w in enumerate(t.words)]
-    index = spark.range(1).select(F.inline(_literal(postings, "struct<w:string,t:int,p:int>")))
-    hits = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"), F.array_position(F.col("rare"), w).alias("r"))), lambda h: h["r"] > 0)
+    gated = rows.where("words is not null").select("k1", "k2", "words")
+    rare = [[w for w in ranked if w in {t.words[i] for i in t.mandatory}][:RARE] for t in templates]
+    postings = [{"w": w, "t": n, "p": i, "r": rare[n].index(w), "need": min(AGREE, len(rare[n]))} for n, t in enumerate(templates) for i, w in enumerate(t.words) if w in rare[n]]
+    index = spark.range(1).select(F.inline(_literal(postings, "struct<w:string,t:int,p:int,r:int,need:int>")))
+    looked = _strings(sorted({w for r in rare for w in r}))
+    hits = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: F.array_contains(looked, h["w"]))
     seen = gated.select("k1", "k2", F.explode(hits).alias("h")).select("k1", "k2", "h.*")
-    votes = seen.join(F.broadcast(index), "w").groupBy("k1", "k2", "t", (F.col("i") - F.col("p")).alias("off")).agg(F.bit_or(F.expr("shiftleft(1, cast(r - 1 as int))")).alias("v")).where(F.bit_count("v") >= AGREE)
+    agreed = seen.join(F.broadcast(index), "w").groupBy("k1", "k2", "t", "need", (F.col("i") - F.col("p")).alias("off"))
+    votes = agreed.agg(F.bit_or(F.expr("shiftleft(1, r)")).alias("v")).where(F.bit_count("v") >= F.col("need"))
     found = votes.join(gated.select("k1", "k2", "words").dropDuplicates(["k1", "k2"]), ["k1", "k2"])
     facts = _literal([{"l": t.label, "w": t.words, "m": t.mandatory} for t in templates], "struct<l:string,w:array<string>,m:array<int>>")
     found = found.withColumn("f", F.element_at(facts, F.col("t") + 1))
@@ -130,7 +133,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     found = found.groupBy("k1", "k2").agg(F.collect_set("f.l").alias("added"), F.max(F.size("placed") / F.size("f.w")).alias("share"))
     starts = F.concat(*[F.col(f"b{i}") for i in range(len(base))])
     base_labels = F.array_sort(F.array_distinct(F.filter(F.array(*[F.when(F.size(f"b{i}") > 0, F.lit(label)) for i, label in enumerate(base.values())]), lambda x: x.isNotNull())))
-    out = rows.drop("words", "rare").withColumns({"starts": starts, "base": base_labels}).join(found, ["k1", "k2"], "left")
+    out = rows.drop("words").withColumns({"starts": starts, "base": base_labels}).join(found, ["k1", "k2"], "left")
     labels = F.array_sort(F.array_distinct(F.concat("base", F.coalesce("added", F.array().cast("array<string>")))))
     score = F.greatest(F.when(F.size("base") > 0, 1.0).otherwise(0.0), F.coalesce("share", F.lit(0.0)))
     return out.select("id", "n_words", F.size("starts").cast("long").alias("n_base"), F.array_min("starts").cast("long").alias("first_word"), F.array_max("starts").cast("long").alias("last_word"), F.array_join("base", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), score.alias("score"))
