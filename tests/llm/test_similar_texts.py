@@ -50,3 +50,18 @@ def test_pairs_near_the_limit(spark, size):
     want = groups(texts)
     assert 20 < len(want) and (size == 6 or len(want) < len(texts))
     assert found(spark, texts) == want
+
+
+def test_crowds_that_are_no_star(spark):
+    """A chain, in which no text is similar to all, and a passage that unrelated texts share."""
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    texts = []
+    for n in range(simhash.CROWD * 3):
+        words[n % 200] = f"chain{n}"
+        texts.append(" ".join(words))
+    passage = " ".join(f"p{n}" for n in range(60))
+    texts += [passage + " " + " ".join(f"x{rng.random()}" for _ in range(60)) for _ in range(simhash.CROWD * 2)]
+    for t in texts[-40:]:
+        texts.append(changed(rng, t.split(), 2))
+    assert found(spark, texts) == groups(texts)
