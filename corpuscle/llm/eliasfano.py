@@ -31,7 +31,8 @@ class EliasFano:
 
     The low bits of each value are packed; the high bits are unary in a bit vector
     with running counts of its ones and zeros. access() reads by position,
-    successor() finds the first value that is not less than a given one.
+    successor() finds the first value that is not less than a given one: the high
+    bits give a range of positions, the low bits are bisected within it.
     """
 
     FIELDS = ("head", "low", "high", "ones", "zeros")
@@ -86,28 +87,35 @@ class EliasFano:
         """Position of the first value >= x (n if none), and whether it equals x."""
         x = x.astype(U)
         h = (x >> U(self.bits)).astype(np.int64)
-        size = len(self.high) * 64
-        inside = (h >= 0) & (h <= size - self.n)
+        inside = (h >= 0) & (h <= len(self.high) * 64 - self.n)
         h = np.where(inside, h, 0)
-        at, some = np.zeros(len(x), np.int64), np.flatnonzero(h > 0)
-        j = h[some] - 1
-        w = np.searchsorted(self.zeros, j, side="right") - 1
-        at[some] = w * 64 + _in_word(~self.high[w], j - self.zeros[w]) + 1
-        i, equal = at - h, np.zeros(len(x), bool)
-        i[~inside] = self.n
+        first, stop = self._bucket(h), self._bucket(h + 1)
+        first[~inside] = stop[~inside] = self.n
         low = x & U((1 << self.bits) - 1)
-        live = np.flatnonzero(inside & (at < size))
+        i, end = first, stop.copy()
+        live = np.flatnonzero(i < end)
         while len(live):
-            bit = (self.high[at[live] >> 6] >> (at[live] & 63).astype(U)) & U(1)
-            live = live[bit == 1]
-            here = self._low(i[live])
-            equal[live] = here == low[live]
-            live = live[here < low[live]]
-            at[live] += 1
-            i[live] += 1
-            live = live[at[live] < size]
+            middle = (i[live] + end[live]) >> 1
+            less = self._low(middle) < low[live]
+            i[live[less]] = middle[less] + 1
+            end[live[~less]] = middle[~less]
+            live = live[i[live] < end[live]]
+        equal = np.zeros(len(x), bool)
+        some = np.flatnonzero(i < stop)
+        equal[some] = self._low(i[some]) == low[some]
         return i, equal
 
+    def _bucket(self, h: np.ndarray) -> np.ndarray:
+        """Position of the first value whose high bits are h or more: the ones before the zero of number h - 1."""
+        out, some = np.zeros(len(h), np.int64), np.flatnonzero(h > 0)
+        j = h[some] - 1
+        out[some] = self.n
+        known = j < len(self.high) * 64 - self.n
+        j, some = j[known], some[known]
+        w = np.searchsorted(self.zeros, j, side="right") - 1
+        out[some] = w * 64 + _in_word(~self.high[w], j - self.zeros[w]) - j
+        return out
+
 
 def _fs(path: str):
     return pyarrow.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pyarrow.fs.LocalFileSystem(), path)

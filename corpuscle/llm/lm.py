@@ -252,7 +252,9 @@ def _score(args: tuple):
             total = counts[context]
             base = np.log10((c + 1) / (trie.tokens + trie.kinds + 1))
             seek = np.flatnonzero((c > 0) & (total > 0))
-            found = trie.pairs(ids[context[seek]], ids[tokens[seek]], total[seek])
+            own, back = np.unique(context[seek] * len(ids) + tokens[seek], return_inverse=True)
+            left, right = own // len(ids), own % len(ids)
+            found = trie.pairs(ids[left], ids[right], counts[left])[back]
             score = np.log10(KAPPA / (total + KAPPA)) - q * STEP
             score[seek] = np.where(found >= 0, -found * STEP, score[seek])
             ends = np.flatnonzero(tokens == 0)
