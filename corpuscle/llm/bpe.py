@@ -1,19 +1,27 @@
 """Byte-level BPE encoding and decoding.
 
 A text is split by the tokenizer's pattern, each match is encoded on its own. The
-matches of a block of rows are reduced to distinct words, and Spark higher-order
+matches of a block of rows are reduced to distinct words (the commonest of a sample are
+merged once for all blocks), and Spark higher-order
 functions fold the ranked merges over each distinct word's bytes: every step finds
-the lowest rank among neighbouring pieces and joins its places, left to right. Pieces
+the lowest rank among neighbouring pieces and joins them, the leftmost first. Pieces
 are carried as ids. Ranks come from a literal map of id pairs, laid out as overlaid
 rows of one array so that a look-up reads one cell: higher-order functions search an
-ordinary map from end to end. Decoding puts the tokens' bytes together.
+ordinary map from end to end. Words of more than LONG bytes, which a fold would read
+once for each merge, are merged with a heap; the ids are the same. Decoding
+concatenates the tokens' bytes as binary pieces.
+
+Null and empty texts and an empty table give no tokens; repeated rows and ids stay;
+the id may be null and of any type.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import heapq
 import json
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +41,10 @@ FIELD = 20
 NONE = 1 << FIELD
 #: Places tried at once for a row of the rank map.
 STRETCH = 8192
+#: Words of more bytes are merged beside the text's split, where a heap finds the next merge: a fold reads all pieces for each.
+LONG = 96
+#: Rows whose words are counted, and words of these that are merged once for all blocks. They decide the time only, never a result.
+SAMPLE_ROWS, COMMON = 20_000, 200_000
 
 
 @functools.lru_cache(maxsize=4)
@@ -84,77 +96,137 @@ def _displaced(pairs: dict[int, int]) -> tuple[list[int], list[int | None]]:
 
 @functools.lru_cache(maxsize=4)
 def _literals(path: str) -> tuple[str, str, str, str]:
-    """JSON of the rank map (bases, cells), of the bytes' ids, and of the tokens' hexadecimal digits by id."""
+    """JSON of the rank map (bases, cells), of the bytes' ids, and of the tokens' bytes by id, in base 64 as JSON has it."""
     ranks = read_ranks(path)
     base, cells = _displaced(_pairs(ranks))
     tokens = [""] * (max(ranks.values(), default=-1) + 1)
     base += [0] * (len(tokens) - len(base))
     for token, rank in ranks.items():
-        tokens[rank] = token.hex()
+        tokens[rank] = base64.b64encode(token).decode()
     write = functools.partial(json.dumps, separators=(",", ":"))
     return write(base), write(cells), write([ranks[bytes([b])] for b in range(256)]), write(tokens)
 
 
-def _rank(a: Column, b: Column, table: tuple[Column, Column]) -> Column:
-    """The rank of joining two neighbouring ids by the literal map; NONE or more, or null, if they do not join.
+def _let(value: Column, body) -> Column:
+    """body(value), the value computed once: inside a lambda nothing else keeps it from being computed at each use."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _rank(a: Column, b: Column, table: Column) -> Column:
+    """The rank of joining two neighbouring ids by the literal map, as a long; NONE or more if they do not join.
 
     A cell of another row keeps bits of its own name.
     """
-    base, cells = table
-    return F.get(cells, F.get(base, a) + b).bitwiseXOR(F.shiftleft(a.cast("long"), FIELD))
+    found = F.get(table["cells"], F.get(table["base"], a) + b).bitwiseXOR(F.shiftleft(a.cast("long"), FIELD))
+    return F.coalesce(found, F.lit(NONE).cast("long"))
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), the value computed once: inside a lambda nothing else keeps it from being computed at each use."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+def merge_word(word: Column, table: Column) -> Column:
+    """The ids of one word, an array of its bytes, after all ranked merges.
+
+    A piece is one long: the rank of joining it with the next one above its own id, so
+    the least long is the next merge, the leftmost of its rank first. A step writes the
+    joined piece and its left neighbour anew and drops the right part.
+    """
 
+    def id_of(piece: Column) -> Column:
+        return piece.bitwiseAND(F.lit(NONE - 1)).cast("int")
 
-def _state(pieces: Column, table: tuple[Column, Column]) -> Column:
-    """Pieces, the rank of joining each with the next, and the lowest rank."""
+    def piece(own: Column, following: Column) -> Column:
+        return F.shiftleft(_rank(own, following, table), FIELD) + own
 
-    def with_ranks(p: Column) -> Column:
-        ranks = F.transform(p, lambda x, i: _rank(x, F.get(p, i + 1), table))
-        return _let(ranks, lambda r: F.struct(p.alias("p"), r.alias("r"), F.coalesce(F.array_min(r), F.lit(NONE).cast("long")).alias("low")))
+    def step(pieces: Column, low: Column) -> Column:
+        joined, gone = F.shiftright(low, FIELD).cast("int"), F.lit(-1).cast("long")
 
-    return _let(pieces, with_ranks)
+        def at(j: Column) -> Column:
+            def change(x: Column, i: Column) -> Column:
+                here = piece(joined, id_of(F.get(pieces, j + 2)))
+                return F.when(i > j + 1, x).when(i < j - 1, x).when(i == j, here).when(i == j + 1, gone).otherwise(piece(id_of(x), joined))
 
+            return F.array_remove(F.transform(pieces, change), gone)
 
-def _joined(s: Column) -> Column:
-    """The pieces after joining places of the lowest rank.
+        return _let((F.array_position(pieces, low) - 1).cast("int"), at)
 
-    Of places that overlap, one after another in a run, the first joins and the
-    rest of the run waits for the next step. In long words, where a run may be
-    long, every other place of it joins at once, which comes to the same.
-    """
-    p, r, low = s["p"], s["r"], s["low"]
-    joined, gone = low.cast("int"), F.lit(-1)
+    def fold(pieces: Column, _: Column) -> Column:
+        return _let(F.array_min(pieces), lambda low: F.when(low >= NONE << FIELD, pieces).otherwise(step(pieces, low)))
+
+    singles = F.transform(word, lambda b: F.get(table["singles"], b))
+    start = _let(singles, lambda ids: F.transform(ids, lambda x, i: piece(x, F.get(ids, i + 1))))
+    return F.transform(F.aggregate(word, start, fold), id_of)
 
-    def at(i: Column) -> Column:
-        return F.get(r, i).eqNullSafe(low)
 
-    def short(x: Column, i: Column) -> Column:
-        run = F.when(~at(i - 1), joined).when(~at(i - 2), gone).otherwise(x)
-        return F.when(at(i), run).when(at(i - 1) & ~at(i - 2), gone).otherwise(x)
+def merge_long_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same ids of a word of any length: pairs wait in a heap by rank and place, so that the time hardly exceeds the length."""
+    end, parts = len(word), [word[i : i + 1] for i in range(len(word))]
+    after, before = list(range(1, end + 1)), list(range(-1, end - 1))
+    heap = [(r, i, 2) for i in range(end - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, i, size = heapq.heappop(heap)
+        j = after[i]
+        if not parts[i] or j >= end or len(parts[i]) + len(parts[j]) != size:
+            continue
+        parts[i], parts[j], after[i] = parts[i] + parts[j], b"", after[j]
+        if after[j] < end:
+            before[after[j]] = i
+        for left in (before[i], i):
+            right = after[left] if left >= 0 else end
+            if right < end and (r := ranks.get(parts[left] + parts[right])) is not None:
+                heapq.heappush(heap, (r, left, len(parts[left]) + len(parts[right])))
+    return [ranks[p] for p in parts if p]
 
-    def long(marks: Column) -> Column:
-        return F.transform(p, lambda x, i: F.when(F.get(marks, i).eqNullSafe(F.lit("1")), joined).when(F.get(marks, i - 1).eqNullSafe(F.lit("1")), gone).otherwise(x))
 
-    marks = F.split(F.regexp_replace(F.array_join(F.transform(r, lambda x: F.when(x.eqNullSafe(low), "1").otherwise("0")), ""), "11", "10"), "")
-    return F.array_remove(F.when(F.size(p) <= 48, F.transform(p, short)).otherwise(_let(marks, long)), gone)
+def _counted(pattern: str):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, seen = regex.compile(pattern).findall, Counter()
+        for batch in batches(it):
+            for text in batch.column(0).to_pylist():
+                seen.update(split(text or ""))
+        words = [w.encode("utf-8", "surrogatepass") for w, n in seen.most_common(COMMON) if n > 1]
+        short = [w for w in words if len(w) <= LONG]
+        ends = pa.array(np.cumsum([0, *map(len, short)]), pa.int32())
+        yield pa.record_batch([pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(short), np.uint8).astype(np.int32)))], ["word"])
+
+    return run
+
+
+def _common(texts: DataFrame, pattern: str, table: Column) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """The most frequent words of SAMPLE_ROWS rows in one piece with their ends, and all their ids with theirs."""
+    words = texts.limit(SAMPLE_ROWS).coalesce(1).mapInArrow(_counted(pattern), "word array<int>")
+    rows = words.repartition(8).select("word", _let(table, lambda t: merge_word(F.col("word"), t)).alias("ids")).toArrow().combine_chunks()
+    parts = []
+    for name, kind in (("word", np.uint8), ("ids", np.int32)):
+        lists = rows[name].combine_chunks() if isinstance(rows[name], pa.ChunkedArray) else rows[name]
+        parts += [np.asarray(lists.flatten()).astype(kind), np.cumsum(np.concatenate(([0], np.asarray(lists.value_lengths()))))]
+    return parts[0].tobytes(), parts[1], parts[2], parts[3]
+
+
+class Common(dict):
+    """Words to their numbers among the common ones, and their ids by number."""
 
+    def __init__(self, letters: bytes, ends: np.ndarray, ids: np.ndarray, stops: np.ndarray) -> None:
+        super().__init__((letters[a:b], k) for k, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)))
+        self.given, self.stops = -1 - ids, stops.tolist()
 
-def merge_word(word: Column, table: tuple[Column, Column], singles: Column) -> Column:
-    """The ids of one word, an array of its bytes, after all ranked merges."""
-    start = _state(F.transform(word, lambda b: F.get(singles, b)), table)
-    return F.aggregate(word, start, lambda s, _: F.when(s["low"] >= NONE, s).otherwise(_state(_joined(s), table)), lambda s: s["p"])
+    def ids(self, k: int) -> np.ndarray:
+        return self.given[self.stops[k] : self.stops[k + 1]]
 
 
-def _blocks(pattern: str, block_bytes: int):
-    """Rows of (id, text) to one row a block: ids, each text's word numbers, and the distinct words."""
+def _blocks(pattern: str, block_bytes: int, ranks, common):
+    """Rows of (id, text) to one row a block: ids, each text's word numbers, and the distinct words.
+
+    A common word and one of more than LONG bytes are given as their ids already, each as -1 - id.
+    """
+
+    def part(w: bytes, merged: Common) -> np.ndarray:
+        k = merged.get(w)
+        if k is not None:
+            return merged.ids(k)
+        return np.frombuffer(w, np.uint8) if len(w) <= LONG else -1 - np.array(merge_long_word(w, ranks.value), np.int32)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = regex.compile(pattern).findall
-        ids, numbers, known, held, kind = [], [], {}, 0, None
+        split, merged = regex.compile(pattern).findall, Common(*common.value)
+        ids, numbers, known, held = [], [], {}, 0
 
         def flush() -> pa.RecordBatch:
             sizes = pa.array([0, *map(len, numbers)], pa.int32())
@@ -162,8 +234,9 @@ def _blocks(pattern: str, block_bytes: int):
             texts = pa.ListArray.from_arrays(pa.compute.cumulative_sum(sizes), flat)
             rows = pa.StructArray.from_arrays([pa.concat_arrays(ids), texts], ["id", "at"])
             coded = [w.encode("utf-8", "surrogatepass") for w in known]
-            ends = pa.array(np.cumsum([0, *map(len, coded)]), pa.int32())
-            distinct = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(coded), np.uint8).astype(np.int32)))
+            parts = [part(w, merged) for w in coded]
+            ends = pa.array(np.cumsum([0, *map(len, parts)]), pa.int32())
+            distinct = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(parts, dtype=np.int32) if parts else np.zeros(0, np.int32)))
             return pa.record_batch([pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows), pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct)], ["rows", "words"])
 
         for batch in batches(it, block_bytes):
@@ -188,19 +261,26 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     pair = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = pair.schema["id"].dataType
     row = T.StructType([T.StructField("id", id_type), T.StructField("at", T.ArrayType(T.IntegerType()))])
-    blocks = pair.mapInArrow(_blocks(pattern, block_bytes), T.StructType([T.StructField("rows", T.ArrayType(row)), T.StructField("words", T.ArrayType(T.ArrayType(T.IntegerType())))]))
     base, cells, singles, _ = _literals(ranks_path)
-    merges, singles = (F.from_json(F.lit(base), "array<int>"), F.from_json(F.lit(cells), "array<bigint>")), F.from_json(F.lit(singles), "array<int>")
+    table = F.struct(F.from_json(F.lit(base), "array<int>").alias("base"), F.from_json(F.lit(cells), "array<bigint>").alias("cells"), F.from_json(F.lit(singles), "array<int>").alias("singles"))
+    send = docs.sparkSession.sparkContext.broadcast
+    blocks = pair.mapInArrow(_blocks(pattern, block_bytes, send(read_ranks(ranks_path)), send(_common(pair.select("text"), pattern, table))), T.StructType([T.StructField("rows", T.ArrayType(row)), T.StructField("words", T.ArrayType(T.ArrayType(T.IntegerType())))]))
+    def ids(table: Column) -> Column:
+        return F.transform("words", lambda w: F.when(F.get(w, 0) < 0, F.transform(w, lambda x: -1 - x)).otherwise(merge_word(w, table)))
+
     # explode keeps the optimizer from moving the fold into the lambda below, where it would run for each use
-    coded = blocks.select("rows", F.explode(F.array(F.transform("words", lambda w: merge_word(w, merges, singles)))).alias("coded"))
+    coded = blocks.select("rows", F.explode(F.array(_let(table, ids))).alias("coded"))
     put = F.transform("rows", lambda r: F.struct(r["id"].alias("id"), F.flatten(F.transform(r["at"], lambda i: F.element_at(F.col("coded"), i))).alias("ids")))
     return coded.select(F.explode(put).alias("r")).select("r.id", "r.ids")
 
 
 def decode(ids: Column, ranks_path: str) -> Column:
-    """The bytes that a list of token numbers stands for."""
-    tokens = F.from_json(F.lit(_literals(ranks_path)[3]), "array<string>")
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(tokens, i + 1)), ""))
+    """The bytes that a list of token numbers stands for, the tokens' bytes concatenated; none for an empty list, null for null.
+
+    Strings hold any bytes here: a cast keeps them, and joining strings copies each piece once.
+    """
+    tokens = F.from_json(F.lit(_literals(ranks_path)[3]), "array<binary>")
+    return F.array_join(F.transform(ids, lambda i: F.element_at(tokens, i + 1).cast("string")), "").cast("binary")
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
