@@ -1,6 +1,6 @@
 """Quality rules: hashed n-gram logistic regression over fixed counts.
 
-Words, word pairs and byte trigrams of a text are hashed to relative frequencies;
+Words, word pairs and trigrams of characters of a text are hashed to relative frequencies;
 a logistic regression trained on labelled rows scores them, its output calibrated
 on rows held out of the training. Training takes at most PER_CLASS labelled rows
 of each class, those of least hash, which bounds the driver's work; scoring reads
@@ -78,7 +78,7 @@ def positions(text: str | None, hashes: np.ndarray) -> list[tuple[np.ndarray, in
     """Hashed feature numbers of a text by family, each with its count."""
     mask = np.uint32((1 << BITS) - 1)
     pairs = (hashes[:-1] * np.uint32(0x9E3779B1) + hashes[1:] * np.uint32(0x85EBCA77)) >> np.uint32(32 - BITS)
-    b = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32) if text else np.zeros(0, np.uint32)
+    b = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) if text else np.zeros(0, np.uint32)
     tri = (b[:-2] * np.uint32(0x9E3779B1) + b[1:-1] * np.uint32(0x85EBCA77) + b[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - BITS) if len(b) > 2 else b[:0]
     return [(x, max(len(x), 1)) for x in (hashes & mask, pairs + np.uint32(1 << BITS), tri + np.uint32(2 << BITS))]
 
@@ -146,33 +146,47 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return a, c
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model | None:
-    """A model from at most per_class labelled rows of each class; None if a class has none.
-
-    docs: doc_id, text; labels: doc_id, quality (1 good, 0 poor; other rows are ignored).
-    """
-    order = F.xxhash64(F.lit("quality"), "doc_id")
-    picked = None
-    for q in (0, 1):
-        one = labels.where((F.col("quality") == q) & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("label")).orderBy(order, "doc_id").limit(per_class)
-        picked = one if picked is None else picked.unionByName(one)
-    found = docs.select("doc_id", "text").join(F.broadcast(picked.dropDuplicates(["doc_id"])), "doc_id")
-    got = found.select("label", "text").mapInArrow(_sparse, "label int, at binary, x binary").collect()
-    y = np.array([r.label for r in got], float)
+def _fit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row (weights, bias, scale, shift) from all labelled rows; none if a class has none."""
+    got = [r for batch in it for r in batch.to_pylist()]
+    y = np.array([r["label"] for r in got], float)
     if not got or y.min() == y.max():
-        return None
-    got, y = (lambda o: ([got[i] for i in o], y[o]))(sorted(range(len(got)), key=lambda i: zlib.crc32(bytes(got[i]["at"]) + bytes(got[i]["x"]))))
+        return
     n = [len(r["at"]) // 4 for r in got]
     at, x = (np.concatenate([np.frombuffer(r[k], t) for r in got]) for k, t in (("at", np.int32), ("x", np.float32)))
-    row = np.repeat(np.arange(len(got)), n)
-    held = np.arange(len(got)) % 5 == 4
+    got = None
+    row = np.repeat(np.arange(len(y)), n)
+    held = np.arange(len(y)) % 5 == 4
     if len(set(y[~held])) < 2:
         held[:] = False
     use = ~held[row]
     w, b = _steps(at[use], x[use].astype(float), (np.cumsum(~held) - 1)[row[use]], y[~held])
-    z = np.bincount(row, x * w[at], len(got)) + b
+    z = np.bincount(row, x * w[at], len(y)) + b
     a, c = _platt(z[held], y[held]) if held.any() else (1.0, 0.0)
-    return Model(w.astype(np.float32), b, a, c)
+    yield pa.record_batch([pa.array([w.astype(np.float32).tobytes()], pa.binary()), *(pa.array([float(v)]) for v in (b, a, c))], ["weights", "bias", "scale", "shift"])
+
+
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model | None:
+    """A model from at most per_class labelled rows of each class; None if a class has none.
+
+    docs: doc_id, text; labels: doc_id, quality (1 good, 0 poor; other rows and null
+    ids are ignored). A document with both labels is no example; one with several
+    texts counts with its first by hash. All of them are fitted in one task of an
+    executor, at most twice per_class rows, and only the weights come to the driver.
+    """
+    order = F.xxhash64(F.lit("quality"), "doc_id")
+    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"), F.max("quality").cast("int").alias("other"))
+    known = known.where("label = other")
+    picked = None
+    for q in (0, 1):
+        one = known.where(F.col("label") == q).select("doc_id", "label").orderBy(order, "doc_id").limit(per_class)
+        picked = one if picked is None else picked.unionByName(one)
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    # repeated rows are told apart by hash first, so that no more than one text of a document is featured
+    text = found.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text"))).alias("t"))
+    sparse = text.select("label", "t.text").mapInArrow(_sparse, "label int, at binary, x binary")
+    rows = sparse.repartition(1).sortWithinPartitions(F.xxhash64("at", "x"), "label").mapInArrow(_fit, "weights binary, bias double, scale double, shift double").collect()
+    return Model(np.frombuffer(rows[0].weights, np.float32), rows[0].bias, rows[0].scale, rows[0].shift) if rows else None
 
 
 def _judged(model: Model | None, texts: list[str | None]) -> Iterator[tuple]:
