@@ -52,6 +52,33 @@ def word_set(text: Column) -> Column:
     return F.array_remove(F.array_distinct(F.split(F.lower(text), "[^a-z]+")), "")
 
 
+def risk_level(loc: Column, importers: Column, complexity: Column) -> Column:
+    """high, medium or low by a module's size, its importers and its complexity; nulls raise nothing."""
+    high = F.coalesce(importers >= 10, F.lit(False)) | F.coalesce(complexity >= 20, F.lit(False)) | F.coalesce(loc >= 400, F.lit(False))
+    medium = F.coalesce(importers >= 4, F.lit(False)) | F.coalesce(complexity >= 12, F.lit(False)) | F.coalesce(loc >= 200, F.lit(False))
+    return F.when(high, "high").when(medium, "medium").otherwise("low")
+
+
+def quality_threshold(risk: Column) -> Column:
+    """The least test quality of a risk level."""
+    return F.when(risk == "high", 0.60).when(risk == "medium", 0.50).otherwise(0.35)
+
+
+def facade_tier(importers: Column) -> Column:
+    """(tier, confidence) of a facade by its importers."""
+    return F.when(importers <= 5, F.struct(F.lit(2).alias("tier"), F.lit("high").alias("confidence"))).when(importers <= 20, F.struct(F.lit(3).alias("tier"), F.lit("medium").alias("confidence"))).otherwise(F.struct(F.lit(4).alias("tier"), F.lit("medium").alias("confidence")))
+
+
+def concern_fingerprint(kind: Column, file: Column, signals: Column) -> Column:
+    """The first 16 hexadecimal digits of the SHA-256 of kind, file and sorted signals; null if one is null."""
+    return F.substring(F.sha2(F.concat(kind, F.lit("::"), file, F.lit("::"), F.array_join(F.array_sort(signals), ",")).cast("binary"), 256), 1, 16)
+
+
+def one_edit_apart(a: Column, b: Column) -> Column:
+    """Whether two names differ by an edit or two, or by a plural s only."""
+    return (F.levenshtein(a, b) <= 2) & (a != b) | (F.concat(a, F.lit("s")) == b) | (F.concat(b, F.lit("s")) == a)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Shared share of two sets; 0 where both are empty."""
     both = F.size(F.array_union(a, b))

@@ -10,8 +10,8 @@ CONFIDENCE_RANK = {"high": 0, "medium": 1, "low": 2}
 
 
 def confidence_rank(confidence: Column) -> Column:
-    """0 for high to 2 for low, 3 for others."""
-    out = F.lit(3)
+    """0 for high to 2 for low, 9 for unknown ones; a missing one counts as low."""
+    out = F.when(confidence.isNull(), 2).otherwise(F.lit(9))
     for name, rank in CONFIDENCE_RANK.items():
         out = F.when(confidence == name, rank).otherwise(out)
     return out
@@ -28,8 +28,15 @@ def capped(issues: DataFrame, most: int) -> DataFrame:
 
 
 def round_robin(shown: DataFrame, budget: int) -> DataFrame:
-    """The issues of capped() taken in turn from the detectors until the budget is used; 0 keeps all."""
-    return shown.orderBy("place", "detector").limit(budget) if budget else shown
+    """The issues of capped() taken in turn from the detectors until the budget is used; 0 keeps all.
+
+    In each turn the detectors come in the order of their first issue: tier, confidence,
+    id, then name. The first issues are one row a detector.
+    """
+    if not budget:
+        return shown
+    first = shown.where("place = 1").select(F.col("detector").alias("turn"), F.struct(F.col("tier"), confidence_rank(F.col("confidence")), F.col("id"), F.col("detector")).alias("ahead"))
+    return shown.join(first, F.col("detector") == F.col("turn")).orderBy("place", "ahead").limit(budget).drop("turn", "ahead")
 
 
 def hidden(issues: DataFrame, shown: DataFrame) -> DataFrame:

@@ -10,12 +10,18 @@ from corpuscle.operators.zones import UNSCORED
 
 MODES = {"lenient": ("open",), "strict": ("open", "wontfix"), "verified_strict": ("open", "wontfix", "fixed", "false_positive")}
 CAPS = ((6, 20), (3, 15), (1, 10))
-ENOUGH, MECHANICAL = 200, 0.4
+ENOUGH, MECHANICAL, HOLISTIC = 200, 0.4, 10
 
 
 def failing(issues: DataFrame) -> DataFrame:
-    """One row for each issue and mode in which it fails: adds mode and tenths, its weight times ten."""
+    """One row for each issue and mode in which it fails: adds mode and tenths, its weight times ten.
+
+    Issues of unscored zones and suppressed ones (a true column suppressed, where there
+    is one) are left out; a null zone is production; a null status fails in no mode.
+    """
     scored = issues.where(~F.coalesce(F.col("zone"), F.lit("production")).isin(*UNSCORED))
+    if "suppressed" in issues.columns:
+        scored = scored.where(~F.coalesce(F.col("suppressed"), F.lit(False)))
     modes = F.array(*[F.struct(F.lit(m).alias("m"), F.col("status").isin(*s).alias("f")) for m, s in MODES.items()])
     hit = F.transform(F.filter(modes, lambda x: x["f"]), lambda x: x["m"])
     return scored.withColumn("mode", F.explode(hit)).withColumn("tenths", confidence_tenths(F.col("confidence")))
@@ -34,16 +40,22 @@ def _cap(n: Column) -> Column:
 
 
 def capped_stats(issues: DataFrame, keys: tuple[str, ...] = ("file",)) -> DataFrame:
-    """As detector_stats(), each file's weight capped by how many issues it has: two levels of aggregation."""
-    by_file = failing(issues).groupBy("detector", "mode", *keys).agg(F.count("*").alias("n"), F.sum("tenths").alias("w"))
-    capped = by_file.withColumn("w", F.least("w", _cap(F.col("n"))))
-    return capped.groupBy("detector", "mode").agg(F.sum("n").alias("failures"), F.sum("w").alias("tenths"), F.count("*").alias("files"))
+    """As detector_stats(), each file's weight capped by how many issues it has: two levels of aggregation.
+
+    Holistic issues (file "." and a true column holistic, where there is one) are of no
+    file: each counts HOLISTIC times its weight, uncapped.
+    """
+    failed = failing(issues)
+    whole = (F.col("file") == ".") & F.coalesce(F.col("holistic"), F.lit(False)) if "holistic" in issues.columns else F.lit(False)
+    by_file = failed.groupBy("detector", "mode", whole.alias("whole_corpus"), *keys).agg(F.count("*").alias("n"), F.sum("tenths").alias("w"))
+    capped = by_file.withColumn("w", F.when(F.col("whole_corpus"), F.col("w") * HOLISTIC).otherwise(F.least("w", _cap(F.col("n")))))
+    return capped.groupBy("detector", "mode").agg(F.sum("n").alias("failures"), F.sum("w").alias("tenths"), F.count_if(~F.col("whole_corpus")).alias("files"))
 
 
-def loc_weighted(issues: DataFrame, weight: str) -> DataFrame:
-    """(detector, mode, weighted): each file counts once, by its weight column."""
-    by_file = failing(issues).groupBy("detector", "mode", "file").agg(F.max(weight).alias("w"))
-    return by_file.groupBy("detector", "mode").agg(F.sum("w").alias("weighted"))
+def loc_weighted(issues: DataFrame, weight: str, order: str = "id") -> DataFrame:
+    """(detector, mode, weighted): a file's issues weigh their sum, but no more than its first issue by order."""
+    by_file = failing(issues).groupBy("detector", "mode", "file").agg(F.sum(weight).alias("w"), F.min_by(weight, order).alias("first_w"))
+    return by_file.groupBy("detector", "mode").agg(F.sum(F.least("w", "first_w")).alias("weighted"))
 
 
 def pass_rate(checks: Column, tenths: Column) -> Column:
@@ -62,7 +74,7 @@ def detector_scores(stats: DataFrame, potentials: DataFrame) -> DataFrame:
 def dimension_scores(scores: DataFrame, dimensions: DataFrame) -> DataFrame:
     """(dimension, mode, checks, failures, score) of detectors joined to dimension(detector, dimension)."""
     sums = scores.join(F.broadcast(dimensions), "detector").groupBy("dimension", "mode").agg(F.sum("checks").alias("checks"), F.sum("tenths").alias("tenths"), F.sum("failures").alias("failures"))
-    return sums.withColumn("score", F.round(100 * pass_rate(F.col("checks"), F.col("tenths")), 4))
+    return sums.withColumn("score", F.round(100 * pass_rate(F.col("checks"), F.col("tenths")), 1))
 
 
 def health(dimensions: DataFrame, weights: DataFrame) -> DataFrame:

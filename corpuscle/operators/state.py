@@ -13,20 +13,22 @@ def suspects(existing: DataFrame, current: DataFrame, least: int = 3) -> DataFra
     return had.join(current.select("detector").distinct(), "detector", "left_anti")
 
 
-def merge_scan(existing: DataFrame, current: DataFrame, in_scope: Column, least: int = 3) -> DataFrame:
+def merge_scan(existing: DataFrame, current: DataFrame, eligible: Column, least: int = 3) -> DataFrame:
     """(id, detector, action, status, reopen_count) after a scan.
 
     existing: id, detector, file, status, reopen_count; current: id, detector, file.
-    New ids open; fixed ones that come back reopen; open ones that are gone are
-    resolved unless their detector is suspect or out of scope by in_scope, an
-    expression over existing rows. Everything else stays as it was. One full outer join.
+    New ids open; fixed ones that come back reopen. Open, set-aside, fixed and false
+    positive ones that are gone are resolved, whether the scan covered their file or
+    not, unless their detector is suspect or eligible is not true of the existing row
+    (another language, an excluded path). Everything else stays as it was. Ids that
+    repeat in current count once. One full outer join.
     """
     doubt = suspects(existing, current, least).select("detector", F.lit(True).alias("doubt"))
-    old = existing.withColumn("scoped", in_scope).join(doubt, "detector", "left").select(F.col("id").alias("o_id"), F.col("detector").alias("o_detector"), "status", "reopen_count", "scoped", F.coalesce("doubt", F.lit(False)).alias("doubt"))
+    old = existing.withColumn("scoped", F.coalesce(eligible, F.lit(False))).join(doubt, "detector", "left").select(F.col("id").alias("o_id"), F.col("detector").alias("o_detector"), "status", "reopen_count", "scoped", F.coalesce("doubt", F.lit(False)).alias("doubt"))
     both = old.join(current.select("id", "detector").distinct(), F.col("o_id") == F.col("id"), "full_outer")
     back = F.col("status").isin("fixed", "auto_resolved")
     gone = F.col("id").isNull()
-    action = F.when(F.col("o_id").isNull(), "new").when(~gone & back, "reopened").when(~gone, "seen").when((F.col("status") == "open") & ~F.col("doubt") & F.col("scoped"), "resolved").otherwise("kept")
+    action = F.when(F.col("o_id").isNull(), "new").when(~gone & back, "reopened").when(~gone, "seen").when(F.col("status").isin("open", "wontfix", "fixed", "false_positive") & ~F.col("doubt") & F.col("scoped"), "resolved").otherwise("kept")
     out = both.withColumn("action", action)
     status = F.when(F.col("action").isin("new", "reopened"), "open").when(F.col("action") == "resolved", "auto_resolved").otherwise(F.col("status"))
     return out.select(F.coalesce("id", "o_id").alias("id"), F.coalesce("detector", "o_detector").alias("detector"), "action", status.alias("new_status"), (F.coalesce("reopen_count", F.lit(0)) + F.when(F.col("action") == "reopened", 1).otherwise(0)).cast("long").alias("reopen_count"))
@@ -40,12 +42,19 @@ def reopeners(appearances: DataFrame, least: int = 2) -> DataFrame:
 
 
 def phases(history: DataFrame) -> DataFrame:
-    """history (scan, score) with the phase of each scan: first_scan, regression, stagnation, momentum, maintenance or refinement."""
+    """history (scan, score) with the phase of each scan.
+
+    In this order: first_scan; regression, a fall of more than 0.5; stagnation, three
+    scans within 0.5; early_momentum, one of the first five scans above the very first;
+    maintenance above 93; refinement above 80; middle_grind. History is one row a scan
+    of a project and is ordered in one task. A null score compares with nothing.
+    """
     w = W.orderBy("scan")
     n, b1, b2 = F.row_number().over(w), F.lag("score", 1).over(w), F.lag("score", 2).over(w)
     flat = (F.greatest("score", b1, b2) - F.least("score", b1, b2)) <= 0.5
-    phase = F.when(n == 1, "first_scan").when(F.col("score") < b1 - 0.5, "regression").when((n >= 3) & flat, "stagnation").when((n <= 5) & (F.col("score") > b1), "momentum").when(F.col("score") > 93, "maintenance").otherwise("refinement")
-    return history.withColumn("phase", phase)
+    early = (n <= 5) & (F.col("score") > F.first("score").over(w))
+    phase = F.when(n == 1, "first_scan").when(F.col("score") < b1 - 0.5, "regression").when((n >= 3) & flat, "stagnation").when(early, "early_momentum")
+    return history.withColumn("phase", phase.when(F.col("score") > 93, "maintenance").when(F.col("score") > 80, "refinement").otherwise("middle_grind"))
 
 
 def trend(history: DataFrame, last: int = 5, still: float = 0.5) -> DataFrame:

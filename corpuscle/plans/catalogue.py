@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuscle.plans import corpus, health, relations  # noqa: F401  they register their queries
+from corpuscle.plans import corpus, health, relations, reports  # noqa: F401  they register their queries
 from corpuscle.plans.registry import ORACLES, QUERIES
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]

@@ -16,7 +16,7 @@ WEIGHTS = (("file health", 2.0), ("code quality", 1.0), ("security", 1.0), ("tes
 PAIRS = ", ".join(f"('{a}', '{b}')" for a, b in DIMENSIONS)
 CAPPED = FAILING + ", by_file AS (SELECT detector, mode, file, day, count(*) AS n, sum(tenths) AS w FROM failing GROUP BY ALL), stats AS (SELECT detector, mode, CAST(sum(n) AS BIGINT) AS failures, CAST(sum(least(w, CASE WHEN n >= 6 THEN 20 WHEN n >= 3 THEN 15 ELSE 10 END)) AS BIGINT) AS tenths, count(*) AS files FROM by_file GROUP BY 1, 2)"
 SCORED = CAPPED + ", checks AS (SELECT detector, CAST(count(*) AS BIGINT) AS checks FROM issues GROUP BY 1)"
-BY_DIMENSION = SCORED + f", dims(detector, dimension) AS (VALUES {PAIRS}), dim AS (SELECT dimension, mode, CAST(sum(checks) AS BIGINT) AS checks, CAST(sum(failures) AS BIGINT) AS failures, CAST(sum(tenths) AS BIGINT) AS tenths FROM checks JOIN stats USING (detector) JOIN dims USING (detector) GROUP BY 1, 2), scored AS (SELECT dimension, mode, checks, failures, round(100 * greatest(0.0, (checks * 10 - tenths) / (checks * 10)), 4) AS score FROM dim)"
+BY_DIMENSION = SCORED + f", dims(detector, dimension) AS (VALUES {PAIRS}), dim AS (SELECT dimension, mode, CAST(sum(checks) AS BIGINT) AS checks, CAST(sum(failures) AS BIGINT) AS failures, CAST(sum(tenths) AS BIGINT) AS tenths FROM checks JOIN stats USING (detector) JOIN dims USING (detector) GROUP BY 1, 2), scored AS (SELECT dimension, mode, checks, failures, round(100 * greatest(0.0, (checks * 10 - tenths) / (checks * 10)), 1) AS score FROM dim)"
 
 
 def potentials(rows):
@@ -97,17 +97,17 @@ def scans(spark, d):
     """Two scans of (detector, file) keys: the state before, and the current one, in which one detector found nothing."""
     rows = issues(spark, d)
     keyed = rows.withColumn("id", F.concat_ws("::", "detector", "file"))
-    old = keyed.where("day <= 2").groupBy("id", "detector", "file").agg(F.max_by("status", "event_id").alias("status")).withColumn("reopen_count", F.lit(0))
-    new = keyed.where("day between 3 and 4 and detector != 'signup'").select("id", "detector", "file").distinct()
+    old = keyed.where("day % 2 = 0").groupBy("id", "detector", "file").agg(F.max_by("status", "event_id").alias("status")).withColumn("reopen_count", F.lit(0))
+    new = keyed.where("day % 2 = 1 and detector != 'signup'").select("id", "detector", "file").distinct()
     return old, new
 
 
-SCANS = ISSUES + ", keyed AS (SELECT *, detector || '::' || file AS k FROM issues), old AS (SELECT k, detector, file, arg_max(status, event_id) AS status FROM keyed WHERE day <= 2 GROUP BY 1, 2, 3), new AS (SELECT DISTINCT k, detector FROM keyed WHERE day BETWEEN 3 AND 4 AND detector <> 'signup'), doubt AS (SELECT detector, count(*) AS was FROM old WHERE status = 'open' GROUP BY 1 HAVING count(*) >= 3 AND detector NOT IN (SELECT detector FROM new))"
+SCANS = ISSUES + ", keyed AS (SELECT *, detector || '::' || file AS k FROM issues), old AS (SELECT k, detector, file, arg_max(status, event_id) AS status FROM keyed WHERE day % 2 = 0 GROUP BY 1, 2, 3), new AS (SELECT DISTINCT k, detector FROM keyed WHERE day % 2 = 1 AND detector <> 'signup'), doubt AS (SELECT detector, count(*) AS was FROM old WHERE status = 'open' GROUP BY 1 HAVING count(*) >= 3 AND detector NOT IN (SELECT detector FROM new))"
 
 
 @query("q32_scan_merge", f"""WITH {SCANS}, m AS (SELECT coalesce(new.k, old.k) AS id, coalesce(new.detector, old.detector) AS detector, status,
  CASE WHEN old.k IS NULL THEN 'new' WHEN new.k IS NOT NULL AND status IN ('fixed', 'auto_resolved') THEN 'reopened' WHEN new.k IS NOT NULL THEN 'seen'
- WHEN status = 'open' AND old.detector NOT IN (SELECT detector FROM doubt) AND NOT contains(old.file, '/vendor/') THEN 'resolved' ELSE 'kept' END AS action FROM old FULL JOIN new ON old.k = new.k)
+ WHEN status IN ('open', 'wontfix', 'fixed', 'false_positive') AND old.detector NOT IN (SELECT detector FROM doubt) AND NOT contains(old.file, '/vendor/') THEN 'resolved' ELSE 'kept' END AS action FROM old FULL JOIN new ON old.k = new.k)
  SELECT id, detector, action, CASE WHEN action IN ('new', 'reopened') THEN 'open' WHEN action = 'resolved' THEN 'auto_resolved' ELSE status END AS new_status, CAST(action = 'reopened' AS BIGINT) AS reopen_count FROM m""")
 def scan_merge(spark, d):
     old, new = scans(spark, d)
@@ -137,7 +137,7 @@ def noise_budget(spark, d):
     return queue.hidden(rows, queue.capped(rows, 10))
 
 
-@query("q36_round_robin", f"WITH {CAP} SELECT id, detector, CAST(place AS BIGINT) AS place FROM capped WHERE place <= 10 ORDER BY place, detector LIMIT 23")
+@query("q36_round_robin", f"WITH {CAP} SELECT c.id, c.detector, CAST(c.place AS BIGINT) AS place FROM capped c JOIN capped f ON f.detector = c.detector AND f.place = 1 WHERE c.place <= 10 ORDER BY c.place, f.tier, f.crank, f.id, c.detector LIMIT 23")
 def round_robin(spark, d):
     return queue.round_robin(queue.capped(open_issues(spark, d), 10), 23).select("id", "detector", F.col("place").cast("long").alias("place"))
 
@@ -152,7 +152,7 @@ def history(spark, d):
     return issues(spark, d).groupBy(F.col("day").alias("scan")).agg(share(F.col("status") != "open").alias("score"), share(F.col("status") == "wontfix").alias("gap"))
 
 
-@query("q37_phase", f"WITH {HISTORY}, w AS (SELECT *, row_number() OVER o AS n, lag(score) OVER o AS b1, lag(score, 2) OVER o AS b2 FROM h WINDOW o AS (ORDER BY scan)) SELECT scan, score, CASE WHEN n = 1 THEN 'first_scan' WHEN score < b1 - 0.5 THEN 'regression' WHEN n >= 3 AND greatest(score, b1, b2) - least(score, b1, b2) <= 0.5 THEN 'stagnation' WHEN n <= 5 AND score > b1 THEN 'momentum' WHEN score > 93 THEN 'maintenance' ELSE 'refinement' END AS phase FROM w")
+@query("q37_phase", f"WITH {HISTORY}, w AS (SELECT *, row_number() OVER o AS n, first_value(score) OVER o AS f, lag(score) OVER o AS b1, lag(score, 2) OVER o AS b2 FROM h WINDOW o AS (ORDER BY scan)) SELECT scan, score, CASE WHEN n = 1 THEN 'first_scan' WHEN score < b1 - 0.5 THEN 'regression' WHEN n >= 3 AND greatest(score, b1, b2) - least(score, b1, b2) <= 0.5 THEN 'stagnation' WHEN n <= 5 AND score > f THEN 'early_momentum' WHEN score > 93 THEN 'maintenance' WHEN score > 80 THEN 'refinement' ELSE 'middle_grind' END AS phase FROM w")
 def phase(spark, d):
     return state.phases(history(spark, d).select("scan", "score"))
 
@@ -187,9 +187,9 @@ def auto_clusters(spark, d):
     return queue.clusters(issues(spark, d), ("detector", "file"))
 
 
-@query("q43_concern_profiles", f"WITH {ISSUES}, s AS (SELECT file, string_agg(DISTINCT detector, ',' ORDER BY detector) AS detectors, count(DISTINCT detector) AS n FROM issues WHERE status = 'open' AND day <= 5 GROUP BY 1 HAVING count(DISTINCT detector) >= 2) SELECT detectors, count(*) AS files FROM s GROUP BY 1 HAVING count(*) >= 3")
+@query("q43_concern_profiles", f"WITH {ISSUES}, s AS (SELECT file, string_agg(DISTINCT detector, ',' ORDER BY detector) AS detectors, count(DISTINCT detector) AS n FROM issues WHERE status = 'open' GROUP BY 1 HAVING count(DISTINCT detector) >= 2) SELECT detectors, count(*) AS files FROM s GROUP BY 1 HAVING count(*) >= 3")
 def concern_profiles(spark, d):
-    return queue.profiles(issues(spark, d).where("day <= 5"))
+    return queue.profiles(issues(spark, d))
 
 
 @query("q44_systemic", f"WITH {ISSUES} SELECT detector, tier, count(DISTINCT file) AS files FROM issues WHERE status = 'open' GROUP BY 1, 2 HAVING count(DISTINCT file) >= 5")

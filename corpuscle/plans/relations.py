@@ -75,12 +75,12 @@ def uncalled(spark, d):
     return table(spark, d, "part").where("p_size <= 10").select("p_partkey").join(used, "p_partkey", "left_anti")
 
 
-USES = "u AS (SELECT DISTINCT user_id % 5 AS dir, user_id AS file, event_type AS item FROM events WHERE day(ts) <= 6)"
+USES = "u AS (SELECT DISTINCT user_id % 5 AS dir, user_id AS file, event_type || day(ts) % 4 AS item FROM events)"
 
 
 @query("q51_sibling_outliers", f"WITH {USES}, s AS (SELECT dir, count(DISTINCT file) AS size FROM u GROUP BY 1), c AS (SELECT dir, item FROM (SELECT dir, item, count(*) AS n FROM u GROUP BY 1, 2) JOIN s USING (dir) WHERE n < size AND n * 100 >= size * 60) SELECT f.dir, f.file, c.item FROM (SELECT DISTINCT dir, file FROM u) f JOIN c USING (dir) ANTI JOIN u ON u.dir = f.dir AND u.file = f.file AND u.item = c.item")
 def sibling_outliers(spark, d):
-    u = table(spark, d, "events").where("day(ts) <= 6").select((F.col("user_id") % 5).alias("dir"), F.col("user_id").alias("file"), F.col("event_type").alias("item"))
+    u = table(spark, d, "events").select((F.col("user_id") % 5).alias("dir"), F.col("user_id").alias("file"), F.concat("event_type", (F.dayofmonth("ts") % 4).cast("string")).alias("item"))
     return census.sibling_outliers(u, u.select("dir", "file"))
 
 
