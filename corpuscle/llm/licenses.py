@@ -12,6 +12,8 @@ that hold all words of some key phrase go on to the look-up.
 
 from __future__ import annotations
 
+import string
+
 import json
 from dataclasses import dataclass
 
@@ -63,8 +65,8 @@ TEMPLATES = (
 
 
 def file_words(text: Column) -> Column:
-    """A text's words in lower case; none for null. Lower-casing other letters than A-Z splits no word anew."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    """A text's words with A-Z in lower case and other letters as they are; none for null."""
+    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase), F.lit(WORD), F.lit(0))
 
 
 def _strings(words: list[str]) -> Column:
