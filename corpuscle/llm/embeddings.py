@@ -101,7 +101,15 @@ def usable(v: Column) -> Column:
     return F.coalesce(v.isNotNull() & finite & F.exists(x, lambda c: c != 0), F.lit(False))
 
 
+def _scaled(v: Column) -> Column:
+    """A vector over its largest component, so that no square underflows or overflows."""
+    top = F.array_max(F.transform(v, lambda c: F.abs(c.cast("double"))))
+    return F.element_at(F.transform(F.array(top), lambda t: F.transform(v, lambda c: c.cast("double") / t)), 1)
+
+
 def _cosine(a: Column, b: Column) -> Column:
+    """The cosine of two vectors as scaled by _scaled()."""
+
     def dot(x: Column, y: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)
 
@@ -116,8 +124,9 @@ def links(classes: DataFrame, cosine: float = COSINE, tables: int = TABLES, prob
     home = each.where(F.col("nth") % (probes + 1) == 0).select("cell", F.col("cls").alias("b"), F.col("sketch").alias("s"))
     met = each.join(home, "cell").where((F.col("cls") != F.col("b")) & (F.bit_count(F.col("sketch").bitwiseXOR(F.col("s"))) <= SKETCH_BITS))
     pairs = met.select(F.least("cls", "b").alias("a"), F.greatest("cls", "b").alias("b")).distinct()
-    one = pairs.join(classes.select(F.col("cls").alias("a"), F.col("v").alias("x")), "a")
-    both = one.join(classes.select(F.col("cls").alias("b"), F.col("v").alias("y")), "b")
+    scaled = pin(classes.select("cls", _scaled(F.col("v")).alias("v")), "scaled")
+    one = pairs.join(scaled.select(F.col("cls").alias("a"), F.col("v").alias("x")), "a")
+    both = one.join(scaled.select(F.col("cls").alias("b"), F.col("v").alias("y")), "b")
     return both.where((F.size("x") == F.size("y")) & (_cosine(F.col("x"), F.col("y")) >= cosine)).select("a", "b")
 
 
