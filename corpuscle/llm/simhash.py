@@ -28,6 +28,8 @@ from corpuscle.operators.graph import connected_components
 from corpuscle.util import pin, table
 
 RADIUS, CROWD, SHINGLE, SEED = 2, 48, 3, 42
+#: Texts of a shared shingle that are all compared with each other at once in similar_texts(); more meet its first text first.
+CELL = 8
 #: For similar_texts(): shingle width, longs of a fingerprint, differing bits that a similarity of 0.8 does not reach
 #: (six standard deviations from its mean) in all and in the first two longs, and shingles below which bits say little.
 WIDE, LANES, FAR, LOOK, TINY = 5, 6, 100, 45, 32
@@ -203,7 +205,7 @@ def _copies(names: DataFrame, texts: DataFrame) -> DataFrame:
     w = Window.partitionBy("cell")
     heads = heads.withColumns({"held": F.count("*").over(w), "lead": F.min("c").over(w), "root": F.lit(None).cast("long")}).where("held > 1")
     heads = pin(heads, "shared_shingles")
-    lone, crowd = heads.where(F.col("held") <= CROWD), heads.where(F.col("held") > CROWD)
+    lone, crowd = heads.where(F.col("held") <= CELL), heads.where(F.col("held") > CELL)
     lead = crowd.where("c = lead")
     met = _met(lone, lone, F.col("c") < F.col("c2")).unionByName(_met(crowd.where("c != lead"), lead))
     found = pin(_alike(met, names, texts), "copies")
@@ -227,7 +229,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first n - ceil(0.8 n) + 1 of each, so texts that share one of those are met.
     Of these, pairs of too many differing fingerprint bits (six longs of SimHash) are
     passed over, and the rest are verified by their shingle sets. In a cell that more
-    than CROWD texts share, all are compared with its first text, and then those of
+    than CELL texts share, all are compared with its first text, and then those of
     other groups with each other. Texts of the same words are one class. component is
     the smallest id of a group of two rows or more; rows without id or words are in
     no group.
