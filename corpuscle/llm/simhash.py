@@ -207,7 +207,8 @@ def _copies(names: DataFrame, texts: DataFrame) -> DataFrame:
     heads = pin(heads, "shared_shingles")
     lone, crowd = heads.where(F.col("held") <= CELL), heads.where(F.col("held") > CELL)
     lead = crowd.where("c = lead")
-    met = _met(lone, lone, F.col("c") < F.col("c2")).unionByName(_met(crowd.where("c != lead"), lead))
+    # a text meets its crowds' leads by name, once each, however many cells they share
+    met = _met(lone, lone, F.col("c") < F.col("c2")).unionByName(crowd.where("c != lead").select(F.least("c", "lead").alias("a"), F.greatest("c", "lead").alias("b")))
     found = pin(_alike(met, names, texts), "copies")
     joined = pin(connected_components(found), "copy_groups")
     # in a crowd, who is joined with its lead need not meet who is too; all others meet all of other groups
