@@ -44,7 +44,7 @@ STRETCH = 8192
 #: Words of more bytes are merged beside the text's split, where a heap finds the next merge: a fold reads all pieces for each.
 LONG = 96
 #: Rows whose words are counted, and words of these that are merged once for all blocks. They decide the time only, never a result.
-SAMPLE_ROWS, COMMON = 20_000, 200_000
+SAMPLE_ROWS, COMMON = 20_000, 100_000
 
 
 @functools.lru_cache(maxsize=4)
