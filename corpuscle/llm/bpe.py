@@ -43,8 +43,8 @@ NONE = 1 << FIELD
 STRETCH = 8192
 #: Words of more bytes are merged beside the text's split, where a heap finds the next merge: a fold reads all pieces for each.
 LONG = 96
-#: Rows whose words are counted, and words of these that are merged once for all blocks. They decide the time only, never a result.
-SAMPLE_ROWS, COMMON = 20_000, 100_000
+#: Partitions and rows of each whose words are counted, and words of these that are merged once for all blocks. They decide the time only, never a result.
+SAMPLE_PARTS, SAMPLE_ROWS, COMMON = 32, 625, 100_000
 
 
 @functools.lru_cache(maxsize=4)
@@ -191,8 +191,13 @@ def _counted(pattern: str):
 
 
 def _common(texts: DataFrame, pattern: str, table: Column) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
-    """The most frequent words of SAMPLE_ROWS rows in one piece with their ends, and all their ids with theirs."""
-    words = texts.limit(SAMPLE_ROWS).coalesce(1).mapInArrow(_counted(pattern), "word array<int>")
+    """The most frequent words of a sample in one piece with their ends, and all their ids with theirs.
+
+    Only the first rows of the first partitions leave their tasks, whatever the size of the table.
+    """
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    first = texts.select("text", F.spark_partition_id().alias("part"), row.alias("row")).where(f"part < {SAMPLE_PARTS} and row < {SAMPLE_ROWS}").select("text")
+    words = first.repartition(1).mapInArrow(_counted(pattern), "word array<int>")
     rows = words.repartition(8).select("word", _let(table, lambda t: merge_word(F.col("word"), t)).alias("ids")).toArrow().combine_chunks()
     parts = []
     for name, kind in (("word", np.uint8), ("ids", np.int32)):
