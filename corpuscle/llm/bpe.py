@@ -1,15 +1,11 @@
 """Byte-level BPE encoding and decoding.
 
 A text is split by the tokenizer's pattern, each match is encoded on its own. The
-matches of a block of rows are reduced to distinct words (the commonest of a sample are
-merged once for all blocks), and Spark higher-order
-functions fold the ranked merges over each distinct word's bytes: every step finds
-the lowest rank among neighbouring pieces and joins them, the leftmost first. Pieces
-are carried as ids. Ranks come from a literal map of id pairs, laid out as overlaid
-rows of one array so that a look-up reads one cell: higher-order functions search an
-ordinary map from end to end. Words of more than LONG bytes, which a fold would read
-once for each merge, are merged with a heap; the ids are the same. Decoding
-concatenates the tokens' bytes as binary pieces.
+matches of a block of rows are reduced to distinct words. A word that is a token is
+that token; of others a heap gives the next merge, the lowest rank among neighbouring
+pieces, the leftmost first. A worker keeps the ids of the first KEPT words it meets,
+which most of a text is made of, for all blocks that follow. Decoding concatenates
+the tokens' bytes as binary pieces.
 
 Null and empty texts and an empty table give no tokens; repeated rows and ids stay;
 the id may be null and of any type.
@@ -20,13 +16,13 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
+import itertools
 import json
-from collections import Counter
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,16 +31,8 @@ from pyspark.sql import types as T
 from corpuscle.llm.words import batches
 from corpuscle.util import table
 
-BLOCK_BYTES = 12 << 20
-#: Ids take so many bits; a rank beyond them means that two pieces do not join.
-FIELD = 20
-NONE = 1 << FIELD
-#: Places tried at once for a row of the rank map.
-STRETCH = 8192
-#: Words of more bytes are merged beside the text's split, where a heap finds the next merge: a fold reads all pieces for each.
-LONG = 96
-#: Partitions and rows of each whose words are counted, and words of these that are merged once for all blocks. They decide the time only, never a result.
-SAMPLE_PARTS, SAMPLE_ROWS, COMMON = 32, 625, 100_000
+#: Bytes of text that are encoded at once, and words whose ids a worker keeps. They decide time and memory only, never a result.
+BLOCK_BYTES, KEPT = 4 << 20, 1 << 17
 
 
 @functools.lru_cache(maxsize=4)
@@ -54,109 +42,20 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(t): int(r) for t, r in map(bytes.split, lines)}
 
 
-def _pairs(ranks: dict[bytes, int]) -> dict[int, int]:
-    """Two neighbouring ids, as one key, to the id of their bytes together, which is also the merge's rank."""
-    return {ranks[t[:i]] << FIELD | ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
-
-
-def _displaced(pairs: dict[int, int]) -> tuple[list[int], list[int | None]]:
-    """The pairs as one array of overlaid rows: a pair (a, b) is at cell base[a] + b, which names a.
-
-    Rows are laid largest first where none of their cells is taken.
-    """
-    rows: dict[int, list[tuple[int, int]]] = {}
-    for key, joined in pairs.items():
-        rows.setdefault(key >> FIELD, []).append((key & (NONE - 1), joined))
-    width = max((b for r in rows.values() for b, _ in r), default=0) + 1
-    taken, free = np.zeros(4 * len(pairs) + 2 * width + STRETCH, bool), 0
-    base = [0] * (max(rows, default=-1) + 1)
-    for a, row in sorted(rows.items(), key=lambda x: -len(x[1])):
-        ends = np.array([b for b, _ in row])
-        while taken[free]:
-            free += 1
-        start = max(0, free - int(ends.min()))
-        fit = np.zeros(0, np.int64)
-        while not len(fit):
-            if start + STRETCH + width > len(taken):
-                taken = np.concatenate((taken, np.zeros(len(taken), bool)))
-            fit = np.arange(start, start + STRETCH)
-            for b in ends.tolist():
-                fit = fit[~taken[fit + b]]
-                if not len(fit):
-                    break
-            start += STRETCH
-        base[a] = at = int(fit[0])
-        taken[at + ends] = True
-    cells: list[int | None] = [None] * (int(np.flatnonzero(taken).max(initial=0)) + 1)
-    for a, row in rows.items():
-        for b, joined in row:
-            cells[base[a] + b] = a << FIELD | joined
-    return base, cells
-
-
 @functools.lru_cache(maxsize=4)
-def _literals(path: str) -> tuple[str, str, str, str]:
-    """JSON of the rank map (bases, cells), of the bytes' ids, and of the tokens' bytes by id, in base 64 as JSON has it."""
+def _tokens(path: str) -> str:
+    """JSON of the tokens' bytes by id, in base 64 as JSON has it."""
     ranks = read_ranks(path)
-    base, cells = _displaced(_pairs(ranks))
     tokens = [""] * (max(ranks.values(), default=-1) + 1)
-    base += [0] * (len(tokens) - len(base))
     for token, rank in ranks.items():
         tokens[rank] = base64.b64encode(token).decode()
-    write = functools.partial(json.dumps, separators=(",", ":"))
-    return write(base), write(cells), write([ranks[bytes([b])] for b in range(256)]), write(tokens)
-
-
-def _let(value: Column, body) -> Column:
-    """body(value), the value computed once: inside a lambda nothing else keeps it from being computed at each use."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def _rank(a: Column, b: Column, table: Column) -> Column:
-    """The rank of joining two neighbouring ids by the literal map, as a long; NONE or more if they do not join.
-
-    A cell of another row keeps bits of its own name.
-    """
-    found = F.get(table["cells"], F.get(table["base"], a) + b).bitwiseXOR(F.shiftleft(a.cast("long"), FIELD))
-    return F.coalesce(found, F.lit(NONE).cast("long"))
-
-
-def merge_word(word: Column, table: Column) -> Column:
-    """The ids of one word, an array of its bytes, after all ranked merges.
-
-    A piece is one long: the rank of joining it with the next one above its own id, so
-    the least long is the next merge, the leftmost of its rank first. A step writes the
-    joined piece and its left neighbour anew and drops the right part.
-    """
-
-    def id_of(piece: Column) -> Column:
-        return piece.bitwiseAND(F.lit(NONE - 1)).cast("int")
-
-    def piece(own: Column, following: Column) -> Column:
-        return F.shiftleft(_rank(own, following, table), FIELD) + own
-
-    def step(pieces: Column, low: Column) -> Column:
-        joined, gone = F.shiftright(low, FIELD).cast("int"), F.lit(-1).cast("long")
-
-        def at(j: Column) -> Column:
-            def change(x: Column, i: Column) -> Column:
-                here = piece(joined, id_of(F.get(pieces, j + 2)))
-                return F.when(i > j + 1, x).when(i < j - 1, x).when(i == j, here).when(i == j + 1, gone).otherwise(piece(id_of(x), joined))
+    return json.dumps(tokens, separators=(",", ":"))
 
-            return F.array_remove(F.transform(pieces, change), gone)
 
-        return _let((F.array_position(pieces, low) - 1).cast("int"), at)
-
-    def fold(pieces: Column, _: Column) -> Column:
-        return _let(F.array_min(pieces), lambda low: F.when(low >= NONE << FIELD, pieces).otherwise(step(pieces, low)))
-
-    singles = F.transform(word, lambda b: F.get(table["singles"], b))
-    start = _let(singles, lambda ids: F.transform(ids, lambda x, i: piece(x, F.get(ids, i + 1))))
-    return F.transform(F.aggregate(word, start, fold), id_of)
-
-
-def merge_long_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same ids of a word of any length: pairs wait in a heap by rank and place, so that the time hardly exceeds the length."""
+def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of a word of any length: pairs wait in a heap by rank and place, so that the time hardly exceeds the length."""
+    if (whole := ranks.get(word)) is not None:
+        return [whole]
     end, parts = len(word), [word[i : i + 1] for i in range(len(word))]
     after, before = list(range(1, end + 1)), list(range(-1, end - 1))
     heap = [(r, i, 2) for i in range(end - 1) if (r := ranks.get(word[i : i + 2])) is not None]
@@ -176,84 +75,39 @@ def merge_long_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p]
 
 
-def _counted(pattern: str):
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, seen = regex.compile(pattern).findall, Counter()
-        for batch in batches(it):
-            for text in batch.column(0).to_pylist():
-                seen.update(split(text or ""))
-        words = [w.encode("utf-8", "surrogatepass") for w, n in seen.most_common(COMMON) if n > 1]
-        short = [w for w in words if len(w) <= LONG]
-        ends = pa.array(np.cumsum([0, *map(len, short)]), pa.int32())
-        yield pa.record_batch([pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(short), np.uint8).astype(np.int32)))], ["word"])
-
-    return run
-
-
-def _common(texts: DataFrame, pattern: str, table: Column) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
-    """The most frequent words of a sample in one piece with their ends, and all their ids with theirs.
-
-    Only the first rows of the first partitions leave their tasks, whatever the size of the table.
-    """
-    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    first = texts.select("text", F.spark_partition_id().alias("part"), row.alias("row")).where(f"part < {SAMPLE_PARTS} and row < {SAMPLE_ROWS}").select("text")
-    words = first.repartition(1).mapInArrow(_counted(pattern), "word array<int>")
-    rows = words.repartition(8).select("word", _let(table, lambda t: merge_word(F.col("word"), t)).alias("ids")).toArrow().combine_chunks()
-    parts = []
-    for name, kind in (("word", np.uint8), ("ids", np.int32)):
-        lists = rows[name].combine_chunks() if isinstance(rows[name], pa.ChunkedArray) else rows[name]
-        parts += [np.asarray(lists.flatten()).astype(kind), np.cumsum(np.concatenate(([0], np.asarray(lists.value_lengths()))))]
-    return parts[0].tobytes(), parts[1], parts[2], parts[3]
-
-
-class Common(dict):
-    """Words to their numbers among the common ones, and their ids by number."""
-
-    def __init__(self, letters: bytes, ends: np.ndarray, ids: np.ndarray, stops: np.ndarray) -> None:
-        super().__init__((letters[a:b], k) for k, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)))
-        self.given, self.stops = -1 - ids, stops.tolist()
-
-    def ids(self, k: int) -> np.ndarray:
-        return self.given[self.stops[k] : self.stops[k + 1]]
+@functools.lru_cache(maxsize=1)
+def _kept(run: str) -> dict[str, tuple[int, ...]]:
+    """The words that this worker has merged in a run, KEPT at most."""
+    return {}
 
 
-def _blocks(pattern: str, block_bytes: int, ranks, common):
-    """Rows of (id, text) to one row a block: ids, each text's word numbers, and the distinct words.
-
-    A common word and one of more than LONG bytes are given as their ids already, each as -1 - id.
-    """
-
-    def part(w: bytes, merged: Common) -> np.ndarray:
-        k = merged.get(w)
-        if k is not None:
-            return merged.ids(k)
-        return np.frombuffer(w, np.uint8) if len(w) <= LONG else -1 - np.array(merge_long_word(w, ranks.value), np.int32)
+def _encoded(pattern: str, block_bytes: int, ranks, run_name: str):
+    """Rows of (id, text) to rows of (id, ids)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, merged = regex.compile(pattern).findall, Common(*common.value)
-        ids, numbers, known, held = [], [], {}, 0
-
-        def flush() -> pa.RecordBatch:
-            sizes = pa.array([0, *map(len, numbers)], pa.int32())
-            flat = pa.concat_arrays(numbers)
-            texts = pa.ListArray.from_arrays(pa.compute.cumulative_sum(sizes), flat)
-            rows = pa.StructArray.from_arrays([pa.concat_arrays(ids), texts], ["id", "at"])
-            coded = [w.encode("utf-8", "surrogatepass") for w in known]
-            parts = [part(w, merged) for w in coded]
-            ends = pa.array(np.cumsum([0, *map(len, parts)]), pa.int32())
-            distinct = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(parts, dtype=np.int32) if parts else np.zeros(0, np.int32)))
-            return pa.record_batch([pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows), pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct)], ["rows", "words"])
+        split, table, kept = regex.compile(pattern).findall, ranks.value, _kept(run_name)
+
+        def ids_of(word: str) -> tuple[int, ...]:
+            found = kept.get(word)
+            if found is None:
+                found = tuple(merge_word(word.encode("utf-8", "surrogatepass"), table))
+                if len(kept) < KEPT:
+                    kept[word] = found
+            return found
 
         for batch in batches(it, block_bytes):
-            ids.append(batch.column(0))
-            for text in batch.column(1).to_pylist():
-                numbers.append(pa.array([known.setdefault(w, len(known) + 1) for w in split(text)] if text else [], pa.int32()))
-                held += len(text or "")
-            if held >= block_bytes:
-                yield flush()
-                ids, numbers, known, held = [], [], {}, 0
-        if ids:
-            yield flush()
+            known: dict[str, int] = {}
+            numbers = [np.array([known.setdefault(w, len(known)) for w in split(text)] if text else [], np.int32) for text in batch.column(1).to_pylist()]
+            parts = [ids_of(w) for w in known]
+            ends = np.cumsum([0, *map(len, parts)])
+            flat = np.fromiter(itertools.chain.from_iterable(parts), np.int32, int(ends[-1]))
+            at = np.concatenate([np.zeros(0, np.int32), *numbers])
+            # every word's ids in a row: a place in them is its word's first plus how far the row has come since that word's start
+            sizes = (ends[1:] - ends[:-1])[at]
+            stops = np.cumsum(np.concatenate((np.zeros(1, np.int64), sizes)))
+            places = np.repeat(ends[at] - stops[:-1], sizes) + np.arange(int(stops[-1]))
+            texts = stops[np.cumsum([0, *map(len, numbers)])]
+            yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(texts, pa.int32()), pa.array(flat[places], pa.int32()))], ["id", "ids"])
 
     return run
 
@@ -264,19 +118,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     Null and empty texts give no tokens. Repeated rows and ids stay as they are.
     """
     pair = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    id_type = pair.schema["id"].dataType
-    row = T.StructType([T.StructField("id", id_type), T.StructField("at", T.ArrayType(T.IntegerType()))])
-    base, cells, singles, _ = _literals(ranks_path)
-    table = F.struct(F.from_json(F.lit(base), "array<int>").alias("base"), F.from_json(F.lit(cells), "array<bigint>").alias("cells"), F.from_json(F.lit(singles), "array<int>").alias("singles"))
-    send = docs.sparkSession.sparkContext.broadcast
-    blocks = pair.mapInArrow(_blocks(pattern, block_bytes, send(read_ranks(ranks_path)), send(_common(pair.select("text"), pattern, table))), T.StructType([T.StructField("rows", T.ArrayType(row)), T.StructField("words", T.ArrayType(T.ArrayType(T.IntegerType())))]))
-    def ids(table: Column) -> Column:
-        return F.transform("words", lambda w: F.when(F.get(w, 0) < 0, F.transform(w, lambda x: -1 - x)).otherwise(merge_word(w, table)))
-
-    # explode keeps the optimizer from moving the fold into the lambda below, where it would run for each use
-    coded = blocks.select("rows", F.explode(F.array(_let(table, ids))).alias("coded"))
-    put = F.transform("rows", lambda r: F.struct(r["id"].alias("id"), F.flatten(F.transform(r["at"], lambda i: F.element_at(F.col("coded"), i))).alias("ids")))
-    return coded.select(F.explode(put).alias("r")).select("r.id", "r.ids")
+    out = T.StructType([T.StructField("id", pair.schema["id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    return pair.mapInArrow(_encoded(pattern, block_bytes, ranks, uuid.uuid4().hex), out)
 
 
 def decode(ids: Column, ranks_path: str) -> Column:
@@ -284,7 +128,7 @@ def decode(ids: Column, ranks_path: str) -> Column:
 
     Strings hold any bytes here: a cast keeps them, and joining strings copies each piece once.
     """
-    tokens = F.from_json(F.lit(_literals(ranks_path)[3]), "array<binary>")
+    tokens = F.from_json(F.lit(_tokens(ranks_path)), "array<binary>")
     return F.array_join(F.transform(ids, lambda i: F.element_at(tokens, i + 1).cast("string")), "").cast("binary")
 
 
